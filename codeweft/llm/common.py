@@ -53,3 +53,19 @@ def ascii_lower(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], n_col: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row a key and the number of rows of that key in ``n_col``.
+
+    Keys that hold over 1/``parts`` of the rows (fewer than ``parts`` of them) go by broadcast, so their
+    rows stay where they are; the others by a shuffle in which no key is hot.
+    """
+    rest = [c for c in keyed.columns if c not in (*keys, n_col)]
+    hot = F.col(n_col) * parts > F.lit(total)
+    head = F.broadcast(keyed.where(hot).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in rest], F.lit(True).alias("__hot")))
+    marked = rows.join(head, keys, "left")
+    names = rows.columns
+    first = marked.where("__hot").select(*names, *[F.col(f"__hot_{c}").alias(c) for c in rest])
+    second = marked.where("__hot is null").select(*names).join(keyed.where(~hot).select(*keys, *rest), keys).select(*names, *rest)
+    return first.unionByName(second)
