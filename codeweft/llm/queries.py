@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .embeddings import OP7_SQL, op7_embedding_duplicates
 from .fingerprints import op8_fingerprints
 from .langid import op9_language_id
 from .licenses import OP5_SQL, op5_licenses
@@ -19,9 +20,10 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_licenses": op5_licenses,
     "op6_mixing": op6_mixing,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_fingerprints": op8_fingerprints,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_licenses": OP5_SQL}
+ORACLE_SQL = {"op1_token_counts": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_licenses": OP5_SQL, "op7_embedding_duplicates": OP7_SQL}
