@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import shared_path, table
 
@@ -312,8 +313,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
     lexicon_name = build_lexicon(docs, tokenizer_path, lexicon_words, text_col)
     vocab_name = tokenizer_path.rsplit("/", 1)[1]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
+    added = [("ids_sha256", StringType()), ("decoded_sha256", StringType())] if digests else [("ids", ArrayType(IntegerType()))]
+    schema = StructType([*rows.schema.fields[: len(keep)], StructField("n_tokens", LongType()), *[StructField(n, t) for n, t in added]])
 
     def run(batches):
         encoder = _mapped(vocab_name, lexicon_name)
@@ -337,7 +338,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
     """The columns ``keep`` and text, from rows of ids; null ids give the empty text."""
     name = sent(encoded.sparkSession, tokenizer_path)
     rows = encoded.select(*keep, F.col(ids_col).alias("__ids"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = StructType([*rows.schema.fields[: len(keep)], StructField("text", StringType())])
 
     def run(batches):
         vocab = vocabulary(SparkFiles.get(name))
@@ -345,7 +346,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
             texts = pa.array([vocab.decode(x or []) for x in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), texts], names=[*keep, "text"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string")
+    return rows.mapInArrow(run, schema)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

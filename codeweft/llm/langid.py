@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
@@ -170,24 +171,24 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     return build_model(list(zip(pdf["k"], pdf["h"], pdf["n"], strict=True)), languages)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` and, under ``names``, the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    inside = text_col in keep
+    rows = docs.select(*keep) if inside else docs.select(*keep, text_col)
+    at = keep.index(text_col) if inside else len(keep)
+    schema = StructType([*rows.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches):
         own = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                found = own.predict(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    names=[*keep, "lang_pred", "score"],
-                )
+                found = own.predict(part.column(at).to_pylist())
+                more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *more], names=[*keep, *names])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -257,6 +257,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates; all columns. Of rows that repeat an id one stays."""
+    found = written(near_duplicates(docs, width, percent, id_col, text_col), "near-duplicates")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(gone, "dropped-ids")
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    kept = found.where("kept and doc_id is not null")
+    if kept.count() != kept.select("doc_id").distinct().count():
+        named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        left = named.unionByName(left.where(F.col(id_col).isNull()))
+    return left
+
+
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 

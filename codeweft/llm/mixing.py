@@ -14,7 +14,7 @@ All sums over sources are Spark aggregates, of 63 exponents at a time (the inter
 in a round), so the number of sources isn't bounded by the driver.
 
 Defined results: tokens are runs of anything but white space; a null text has none, and such
-documents (as those without words) go with every full epoch and never with a part. A null source is
+documents (as those without words) go with their blocks, but not with one that is cut. A null source is
 a source of its own. Sources without any token get no weight, and their documents appear once.
 Repeated rows are mixed as documents of their own. An empty table gives an empty result.
 """
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, table, written
+from .common import WORD, table, written
 
 POINTS = 63
 ROUNDS = 6
@@ -104,18 +104,22 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row for each time a document is taken: doc_id, source, n_tokens, epoch, block, rank, place.
+    """One row for each time a document is taken: doc_id, source, n_tokens, epoch, block, rank, place,
+    or the named columns of ``docs`` instead.
 
     ``rank``: the block's place in its source's permutation of that epoch; ``place`` (0 to 1): where
     the block stands in its source's whole run. Ordering by it interleaves the sources evenly.
+    Texts stay in their rows: the plan (a row a source, and a row a block and epoch) comes to them.
     """
-    at = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens"))
-    rows = docs.select(
+    own = docs.select(
+        *[F.col(c).alias(f"__{c}") for c in columns or []],
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
-    rows = written(rows.withColumn("at", at), "mix-rows")
+    own = own.withColumn("at", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens")))
+    facts = ["doc_id", "source", "n_tokens", "at"]
+    rows = written(own.select(facts), "mix-rows")
     counts = written(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
     mix = temperature_weights(counts.where("tokens > 0"), max_repeat, min_entropy, budget)
     plan = counts.withColumnRenamed("source", "s").join(mix.sources.select(F.col("source").alias("s2"), "target"), F.expr("s <=> s2"), "left").select(
@@ -127,16 +131,14 @@ def mix_sources(
         F.greatest(F.lit(16), F.ceil(F.col("tokens") / F.lit(block_tokens))).alias("n_blocks"),
     )
     plan = written(plan, "mix-plan")
-    # A hot source keeps its rows where they are: the plan (a row a source) is joined to them, and goes by broadcast while Spark finds it small.
-    marked = rows.join(plan, F.expr("source <=> s")).withColumn("block", F.pmod("at", F.col("n_blocks")).cast("long"))
-    marked = written(marked.select("doc_id", "source", "n_tokens", "at", "block", "whole", "rest", "target", "tokens", "n_blocks"), "mix-marked")
+
+    def blocked(table: DataFrame) -> DataFrame:
+        return table.join(plan, F.expr("source <=> s")).withColumn("block", F.pmod("at", F.col("n_blocks")).cast("long"))
 
     def order(epoch: Column) -> Column:
         return F.xxhash64(F.lit(seed), epoch, F.col("source"), F.col("block"))
 
-    blocks = marked.groupBy("source", "block").agg(
-        F.sum("n_tokens").alias("block_tokens"), *[F.first(c).alias(c) for c in ("whole", "rest", "target", "tokens")]
-    )
+    blocks = blocked(rows).groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"), *[F.first(c).alias(c) for c in ("whole", "rest", "target", "tokens")])
     blocks = written(blocks, "mix-blocks")
     epochs = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole")))).where("epoch < whole or rest > 0")
     run = Window.partitionBy("source", "epoch").orderBy(order(F.col("epoch")), "block")
@@ -151,13 +153,17 @@ def mix_sources(
     )
     epochs = written(epochs, "mix-epochs")
     same = F.expr("source <=> s and block = b")
-    base = marked.select("doc_id", "source", "n_tokens", "at", "block")
-    full = base.join(epochs.where("room is null"), same).where("n_tokens > 0 or rank >= 0")
-    within = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "epoch", "at"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = base.where("n_tokens > 0").join(F.broadcast(epochs.where("room is not null")), same)  # one block a source at most: as many rows as sources
-    part = part.withColumn("upto", F.sum("n_tokens").over(within)).where("upto <= room")
-    names = ["doc_id", "source", "n_tokens", "epoch", "block", "rank", "place"]
-    return full.select(names).unionByName(part.select(names))
+    # Where a source's budget ends, documents are taken in hashed order up to a last one; at most one block a source.
+    draw = F.struct(F.xxhash64(F.lit(seed), "epoch", "at").alias("h"), F.col("doc_id").alias("i"), F.col("at").alias("a"))
+    within = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
+    ends = epochs.where("room is not null")
+    last = blocked(rows.where("n_tokens > 0")).drop("s").join(ends, same).withColumn("draw", draw).withColumn("upto", F.sum("n_tokens").over(within))
+    last = last.where("upto <= room").groupBy("source").agg(F.max("draw").alias("last")).withColumnRenamed("source", "s3")
+    steps = written(epochs.join(last, F.expr("s <=> s3 and room is not null"), "left").drop("s3"), "mix-steps")
+    taken = blocked(own).drop("s").join(steps, same).where(F.col("room").isNull() | ((F.col("n_tokens") > 0) & (draw <= F.col("last"))))
+    if columns:
+        return taken.select(*[F.col(f"__{c}").alias(c) for c in columns])
+    return taken.select("doc_id", "source", "n_tokens", "epoch", "block", "rank", "place")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
