@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _S = r"[ \t\r\n]*"
@@ -116,7 +117,7 @@ def api_segment(url: Column) -> Column:
 # Pages
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def strip_page_comments(texts: pd.Series) -> pd.Series:
     """Without @* *@ comments, but with their line breaks."""
     import re
@@ -125,7 +126,7 @@ def strip_page_comments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else found.sub(lambda m: "\n" * m.group().count("\n"), t))
 
 
-@pandas_udf("array<struct<name:string,is_tag:boolean,line:int>>")
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("is_tag", T.BooleanType()), T.StructField("line", T.IntegerType())])))
 def partial_renders(texts: pd.Series) -> pd.Series:
     """Partials that a page renders, with lines: tags first, then calls."""
     import re
@@ -143,7 +144,7 @@ def partial_renders(texts: pd.Series) -> pd.Series:
     return texts.map(of)
 
 
-@pandas_udf("array<struct<tag:string,attributes:map<string,string>,line:int>>")
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType())), T.StructField("line", T.IntegerType())])))
 def tag_helpers(texts: pd.Series) -> pd.Series:
     """Tags with an asp-* attribute."""
     import re

@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.paths import is_build_output, vendor_reason
@@ -71,7 +72,14 @@ def output_folder(path: str | Path) -> tuple[Path, str | None]:
     return folder, f"add {folder.name}/ to .gitignore" if done.returncode == 1 else None
 
 
-_PLACEMENT = "array<struct<shape:string,line:int,place:string,display_type:string,differentiator:string,renamed_to:string,alternates:array<string>,wrappers:array<string>,filters:array<string>>>"
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+_PLACEMENT = T.ArrayType(
+    T.StructType(
+        [T.StructField("shape", _TEXT), T.StructField("line", T.IntegerType())]
+        + [T.StructField(n, _TEXT) for n in ("place", "display_type", "differentiator", "renamed_to")]
+        + [T.StructField(n, _TEXTS) for n in ("alternates", "wrappers", "filters")]
+    )
+)
 
 
 @pandas_udf(_PLACEMENT)
