@@ -105,7 +105,7 @@ def api_calls(script: Column) -> Column:
     text = strip_script_comments(script)
     fetched = _all(text, rf"fetch{_S}[(]{_S}[\x22\x27`]([^\x22\x27`$]+)")
     jquery = _all(text, rf"(?:\burl{_S}:{_S}|[$][.](?:getJSON|get|post){_S}[(]{_S})[\x22\x27](/[^\x22\x27]+)")
-    return F.array_distinct(F.filter(F.transform(F.concat(fetched, jquery), F.trim), lambda u: F.startswith(u, F.lit("/"))))
+    return F.array_distinct(F.filter(F.transform(F.concat(fetched, jquery), lambda x: F.trim(x)), lambda u: F.startswith(u, F.lit("/"))))
 
 
 def api_segment(url: Column) -> Column:
@@ -180,7 +180,7 @@ def model_directive(text: Column) -> Column:
 
 
 def inject_directives(text: Column) -> Column:
-    return F.transform(_all(text, r"(?m)^\s*@inject[ \t]+([^\n\r]+)"), F.trim)
+    return F.transform(_all(text, r"(?m)^\s*@inject[ \t]+([^\n\r]+)"), lambda x: F.trim(x))
 
 
 def sections(text: Column) -> Column:
@@ -199,7 +199,7 @@ def layout(text: Column) -> Column:
 def asset_references(text: Column) -> Column:
     """src of scripts, then href of style sheets, as written; once each but for case."""
     found = F.concat(_all(text, rf"(?i)<script\b[^>]*?\bsrc{_S}={_S}[\x22\x27]([^\x22\x27]+)[\x22\x27]"), _all(text, rf"(?i)<link\b[^>]*?\bhref{_S}={_S}[\x22\x27]([^\x22\x27]+[.]css[^\x22\x27]*)[\x22\x27]"))
-    found = F.filter(F.transform(found, F.trim), lambda x: x != "")
+    found = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
     lowered = _lower(found)
     return F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
@@ -222,7 +222,7 @@ def rendered_data_keys(text: Column) -> Column:
 
 
 def _ids(text: Column) -> Column:
-    return F.transform(_either(text, rf"\bid{_S}={_S}{_QUOTED}"), F.trim)
+    return F.transform(_either(text, rf"\bid{_S}={_S}{_QUOTED}"), lambda x: F.trim(x))
 
 
 def rendered_ids(text: Column) -> Column:

@@ -74,6 +74,7 @@ def body_diff(pairs: DataFrame, blocks: DataFrame, regions: DataFrame, depths: D
     """``pairs``: pair, left, right; ``depths``: body, depth. pair, equivalent, depth_left, depth_right, calls_only_left, calls_only_right, differences."""
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("body")), F.struct(F.lit("r").alias("side"), F.col("right").alias("body")))).alias("s")).select("pair", "s.side", "s.body")
     b, r = sides.join(blocks, "body"), sides.join(regions, "body")
+    r = r.toDF(*r.columns)  # columns of its own
 
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         of = lambda pdf, side: pdf[pdf["side"] == side].to_dict("records")
