@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NODE_KINDS = (
-    "Project RazorPage PageModel ApiController ControllerAction PartialView ViewComponent Layout Service ServiceInterface ServiceImplementation "
-    "ViewModel Class Method Property Field ViewDataKey NamedBinding ConfigurationFile ExternalType Parameter Middleware Route HtmlElement "
-    "TagHelperInvocation JavaScriptFile CssFile Unknown"
+    "ApiController Class ConfigurationFile ControllerAction CssFile ExternalType Field HtmlElement JavaScriptFile Layout Method "
+    "Middleware NamedBinding PageModel Parameter PartialView Project Property RazorPage Route Service ServiceImplementation "
+    "ServiceInterface TagHelperInvocation Unknown ViewComponent ViewDataKey ViewModel"
 ).split()
 EDGE_KINDS = (
-    "Contains Inherits Implements PageServedBy UsesLayout RendersPartial RendersComponent DefinesSection HasModel InjectedInto ReturnsView BindsTo "
-    "Reads Writes Calls MapsToRoute HandlesHttpMethod ViewDataWrittenBy ViewDataReadBy DomSelectedBy UrlGeneratedBy References DependsOn Covers "
-    "Escapes Produces BoundBy Quotes DecoratedBy Registers Extends Unknown"
+    "BindsTo BoundBy Calls Contains Covers DecoratedBy DefinesSection DependsOn DomSelectedBy Escapes Extends HandlesHttpMethod "
+    "HasModel Implements Inherits InjectedInto MapsToRoute PageServedBy Produces Quotes Reads References Registers RendersComponent "
+    "RendersPartial ReturnsView Unknown UrlGeneratedBy UsesLayout ViewDataReadBy ViewDataWrittenBy Writes"
 ).split()
 #: Followed only when named: a hub of annotations connects everything to everything.
 ANNOTATION_KINDS = ("DecoratedBy",)

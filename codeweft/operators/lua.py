@@ -17,7 +17,12 @@ from ..functions.paths import last_segment, version_array
 from ..store import settled
 from .traverse import bfs
 
-STANDARD = ("assert collectgarbage dofile error getmetatable ipairs load loadfile loadstring next pairs pcall print rawequal rawget rawlen rawset require select setmetatable tonumber tostring type unpack xpcall").split()
+STANDARD = (
+    "print error assert type tostring tonumber pcall xpcall select unpack "
+    "pairs ipairs next rawget rawset rawequal rawlen "
+    "getmetatable setmetatable getfenv setfenv "
+    "require load loadstring loadfile dofile collectgarbage"
+).split()
 STANDARD_TABLES = "string table math os io debug coroutine utf8 bit bit32 package jit".split()
 SEVERITIES = ("Error", "Warning", "Note")
 FINDING = ["rule", "severity", "path", "line", "message"]
