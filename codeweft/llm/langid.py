@@ -35,9 +35,13 @@ SAMPLE_PER_LANG = 2000
 TYPICAL = 0.25
 MIN_COUNT = 8
 HASHES = 3
+#: A bitmask has 64 bits: of more languages, those with most documents are learned.
+MOST_LANGUAGES = 64
 BITS_PER_GRAM = 12
 UNKNOWN = "und"
 DOCS_AT_ONCE = 128
+#: Bytes that are hashed at once.
+PIECE = 1 << 18
 
 _KEPT = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _SPACES = re.compile(b"  +")
@@ -83,23 +87,40 @@ class Model:
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """texts x languages: the share of n-grams that a language holds, less its false positives."""
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        sizes = np.array([len(t) for t in texts])
+        """texts x languages: the share of n-grams that a language holds, less its false positives.
+
+        Texts are read in pieces that overlap by the longest n-gram less one, so long ones take no more
+        memory; an n-gram counts where it begins.
+        """
+        hits = np.zeros((len(texts), len(self.languages)))
+        many = np.array([max(sum(max(len(t) - n + 1, 0) for n in SIZES), 1) for t in texts])
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            for a in range(0, len(t), PIECE):
+                held.append((i, t[a : a + PIECE + max(SIZES) - 1]))
+                size += len(held[-1][1])
+                if size >= PIECE:
+                    self._count(held, hits)
+                    held, size = [], 0
+        self._count(held, hits)
+        return np.clip((hits / many[:, None] - self.false) / (1 - self.false), 0, 1)
+
+    def _count(self, pieces: list[tuple[int, bytes]], hits: np.ndarray) -> None:
+        if not pieces:
+            return
+        data = np.frombuffer(b"".join(p for _, p in pieces), dtype=np.uint8)
+        sizes = np.array([len(p) for _, p in pieces])
         starts = np.cumsum(sizes) - sizes
         masks = self.masks(gram_hashes(data))
-        whole = np.zeros((len(SIZES), len(texts), len(self.languages)))
-        # An n-gram that would run over the end of its text doesn't count.
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         left = np.repeat(sizes, sizes) - place
-        many = np.zeros(len(texts))
+        owner = np.array([i for i, _ in pieces])
         for i, n in enumerate(SIZES):
-            own = np.where(left >= n, masks[i], 0)
-            many += np.maximum(sizes - n + 1, 0)
+            own = np.where((left >= n) & (place < PIECE), masks[i], 0)
             for j in range(len(self.languages)):
-                whole[i, :, j] = np.add.reduceat((own >> self.rows.dtype.type(j)) & self.rows.dtype.type(1), starts, dtype=np.int64)
-        share = whole.sum(axis=0) / np.maximum(many, 1)[:, None]
-        return np.clip((share - self.false) / (1 - self.false), 0, 1)
+                found = np.add.reduceat((own >> self.rows.dtype.type(j)) & self.rows.dtype.type(1), starts, dtype=np.int64)
+                np.add.at(hits[:, j], owner, found)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -120,8 +141,8 @@ def build_model(grams: list[tuple[int, int, int]], languages: list[str]) -> Mode
     """``grams``: (language's number, hash, count). Languages stand in order of preference at ties."""
     if not languages:
         return Model([], np.zeros(1, dtype=np.uint8), np.zeros(0))
-    if len(languages) > 64:
-        raise ValueError("bitmasks hold 64 languages")
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"bitmasks hold {MOST_LANGUAGES} languages")
     kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
     lang = np.array([g[0] for g in grams], dtype=np.int64)
     h = np.array([g[1] for g in grams], dtype=np.int64).view(np.uint64)
@@ -146,21 +167,25 @@ def build_model(grams: list[tuple[int, int, int]], languages: list[str]) -> Mode
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """``labelled``: id, text, lang."""
     labelled = labelled.where("id is not null and lang is not null and text is not null")
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(65).collect()
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = [r["lang"] for r in known]
     if not languages:
         return build_model([], [])
     rate = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, sample_per_lang / r["count"]))])
     number = F.create_map(*[F.lit(x) for k, r in enumerate(known) for x in (r["lang"], k)])
+    labelled = labelled.where(F.col("lang").isin(*languages))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000
 
     def count(batches):
         for batch in batches:
             found: dict[int, list[np.ndarray]] = {}
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(letters_of(text), dtype=np.uint8)
-                hashes = gram_hashes(data)
-                found.setdefault(k, []).append(np.concatenate([hashes[i, : max(0, len(data) - n + 1)] for i, n in enumerate(SIZES)]))
+                letters = letters_of(text)
+                for a in range(0, len(letters), PIECE):
+                    data = np.frombuffer(letters[a : a + PIECE + max(SIZES) - 1], dtype=np.uint8)
+                    hashes = gram_hashes(data)
+                    own = np.concatenate([hashes[i, : min(PIECE, max(0, len(data) - n + 1))] for i, n in enumerate(SIZES)])
+                    found.setdefault(k, []).append(own)
             for k, parts in found.items():
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
