@@ -183,26 +183,35 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
         lists = np.stack(pdf["lists"].to_list())
         codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in pdf["codes"]])
         counts = np.zeros(len(ids), dtype=np.int64)
-        links: list[tuple[int, int]] = []
+        root = np.arange(len(ids))
         left, right = (np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
         for a in range(0, len(left), 256):
             some = left[a : a + 256]
             near = own.products(x[some], center, codes[right]) >= threshold - own.error
             near |= (own.products(x[right], center, codes[some]) >= threshold - own.error).T
-            p, q = np.nonzero(near)
+            if near.sum() * 8 > near.size:  # one product of matrices takes less than that many single ones
+                near &= x[some] @ x[right].T >= threshold
+                p, q = np.nonzero(near)
+            else:
+                p, q = np.nonzero(near)
+                exact = (x[some[p]] * x[right[q]]).sum(axis=1) >= threshold
+                p, q = p[exact], q[exact]
             p, q = some[p], right[q]
             if i == j:
                 p, q = p[p < q], q[p < q]
-            exact = (x[p] * x[q]).sum(axis=1) >= threshold
-            p, q = p[exact], q[exact]
             # The first list that both stand in counts.
             both = (lists[p][:, :, None] == lists[q][:, None, :]).any(axis=2)
-            first = np.where(both, lists[p], np.iinfo(np.int32).max).min(axis=1) == center
+            first = np.where(both, lists[p], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max) == center
             p, q = p[first], q[first]
             np.add.at(counts, p, copies[q])
             np.add.at(counts, q, copies[p])
-            forest = roots([*links, *zip(p.tolist(), q.tolist(), strict=True)])
-            links = [(r, k) for k, r in forest.items() if r != k]
+            apart = np.unique(np.sort(np.stack([root[p], root[q]], axis=1)[root[p] != root[q]], axis=1), axis=0)
+            if len(apart):  # links between trees of the forest so far
+                to = np.arange(len(ids))
+                for k, r in roots(apart.tolist()).items():
+                    to[k] = r
+                root = to[root]
+        links = [(int(r), k) for k, r in enumerate(root.tolist()) if r != k]
         some = np.flatnonzero(counts)
         return pd.concat(
             [
