@@ -24,6 +24,7 @@ give a row each (doc_id may repeat: labels of one doc_id are those of all its ro
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,30 +68,32 @@ def _template_rows(spark: SparkSession, templates, threshold: float) -> DataFram
     return rows.select("template", "label", F.explode(tokens).alias("token"), F.size(tokens).alias("size")).withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, words (text of the block's words, one space apart)."""
-    block = F.explode(F.split(F.col(text_col), r"[\n\r]+|[.!?]\s+"))
-    return docs.select(F.col(id_col).alias("doc_id"), block.alias("block")).select("doc_id", clean(F.col("block")).alias("words")).where("words <> ''")
+#: As SEPARATORS, but for line breaks.
+WITHIN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def cleaned_blocks(text: Column) -> Column:
+    """The words of a text in lower case, one space apart, and a line break between blocks."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, r"[\n\r]+|[.!?]\s+", "\n")), WITHIN, " ")
 
 
 def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every (block, template) pair that meets the threshold: doc_id, template, label, containment, words."""
     spark = docs.sparkSession
     rows = _template_rows(spark, templates, threshold)
-    known = sorted({r["token"] for r in rows.select("token").collect()})  # words of the templates above
-    found = blocks(docs, id_col, text_col)
-    rare = F.array(*[F.lit(t) for t in known])
-    # Counts of template words over the whole corpus: partial sums, a few hundred keys.
-    frequency = written(found.select(F.explode(F.array_intersect(F.split("words", " "), rare)).alias("token")).groupBy("token").count(), "license-frequency")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    # Counts of template words over the whole corpus: words that no template has end in the hash join.
+    every = docs.select(F.explode(F.split(cleaned_blocks(F.col("text")), "[ \n]")).alias("token"))
+    frequency = written(every.join(F.broadcast(rows.select("token").distinct()), "token").groupBy("token").count(), "license-frequency")
     order = Window.partitionBy("template").orderBy(F.coalesce("count", F.lit(0)), "token")
     ranked = rows.join(frequency, "token", "left").withColumn("place", F.row_number().over(order) - 1)
-    ranked = ranked.select("template", "label", "token", "size", "need", "place").collect()
+    ranked = ranked.select("template", "label", "token", "size", "need", "place").collect()  # words of the templates above
     prefixes = sorted({r["token"] for r in ranked if r["place"] <= r["size"] - r["need"]})
-    words = F.split("words", " ")
-    own = F.array_distinct(words)
-    # Prefix filter on the block's words, before anything is exploded.
-    first = found.where(reduce(lambda a, b: a | b, [F.col("words").contains(t) for t in prefixes]))
-    first = first.select("doc_id", "words", own.alias("own")).where(F.arrays_overlap("own", F.array(*[F.lit(t) for t in prefixes])))
+    # Prefix filter, on whole texts and then on blocks, before anything is exploded further.
+    holds = F.lit(rf"(?<![^ \n])(?:{'|'.join(map(re.escape, prefixes))})(?![^ \n])")
+    first = docs.select("doc_id", cleaned_blocks(F.col("text")).alias("text")).where(F.rlike("text", holds))
+    first = first.select("doc_id", F.explode(F.split("text", "\n")).alias("words")).where(F.rlike("words", holds))
+    first = first.select("doc_id", F.trim("words").alias("words"), F.array_distinct(F.split(F.trim("words"), " ")).alias("own"))
     by = {}
     for r in sorted(ranked, key=lambda r: (r["template"], r["place"])):
         by.setdefault((r["template"], r["label"], r["size"], r["need"]), []).append(r["token"])
