@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import shared_path, table
+from .common import shared_path, table, written
 
 LEXICON_WORDS = 100_000
 END = "</w>"
 #: Entries of a worker's memo of words; it is emptied when full.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 DOCS_AT_ONCE = 200
+#: Words that a task counts before it hands them on.
+COUNTED_WORDS = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -242,12 +244,13 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     def count(batches):
         vocab, n = vocabulary(SparkFiles.get(name)), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    n.update(vocab.parts(text))
-            if len(n) > 500_000:
-                yield from counted(n)
-                n.clear()
+            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+                for text in batch.column(0).slice(i, DOCS_AT_ONCE).to_pylist():
+                    if text:
+                        n.update(vocab.parts(text))
+                if len(n) > COUNTED_WORDS:
+                    yield from counted(n)
+                    n.clear()
         yield from counted(n)
 
     def counted(n):
@@ -270,7 +273,16 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, lexicon_words: int = LEX
     import io
 
     spark, vocab = docs.sparkSession, vocabulary(tokenizer_path)
-    top = count_words(docs, tokenizer_path, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
+    counted = count_words(docs, tokenizer_path, text_col).withColumn("size", F.floor(F.log("n") * 16))
+    counted = written(counted.where("n > 1"), "word-counts")
+    # The least count that leaves no more than lexicon_words words, from a histogram of some hundred sizes.
+    least, total = None, 0
+    for r in counted.groupBy("size").count().orderBy(F.desc("size")).collect():
+        total += r["count"]
+        if total > lexicon_words:
+            break
+        least = r["size"]
+    top = counted.where(F.col("size") >= least).select("word").collect() if least is not None else []
     entries = {r["word"].encode("utf-8"): vocab.merge(r["word"]) for r in top}
     buffer = io.BytesIO()
     np.save(buffer, compile_lexicon(entries))
@@ -298,7 +310,7 @@ class Encoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo = self.memo
-        new = list({w for p in parts for w in p if w not in memo})
+        new = list(set().union(*parts) - memo.keys())
         for w, ids in zip(new, self.lexicon.find([w.encode("utf-8") for w in new]), strict=True):
             memo[w] = np.array(self.vocab.merge(w) if ids is None else ids, dtype="<u4").tobytes()
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
