@@ -44,7 +44,8 @@ EMPTY = 0xFFFF
 #: Ids that a broadcast may hold (some 16 MB).
 BROADCAST_IDS = 500_000
 BLOCK = 512
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
+DOCS_AT_ONCE = 500
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -123,18 +124,17 @@ def sketches(docs: DataFrame, width: int, threshold: float, id_col: str, text_co
 
     def run(batches):
         memo = WordHashes()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            out: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, width, memo)
-                n = len(s)
-                h1 = int(s.sum().view(np.int64)) if n else 0
-                h2 = int(_mixed(s * _U(0xD6E8FEB86659FD93) + _U(1)).sum().view(np.int64)) if n else 0
-                out.append((i, n, h1, h2, small_sketch(s).tobytes() if 0 < n <= LARGE / threshold else None, large_sketch(s).tobytes() if n >= LARGE else None))
-            for k in range(0, len(out), 2000):
-                part = list(zip(*out[k : k + 2000], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["doc_id", "n", "h1", "h2", "small", "large"])
+            for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part, out = batch.slice(k, DOCS_AT_ONCE), []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    s = shingle_set(text, width, memo)
+                    n = len(s)
+                    h1 = int(s.sum().view(np.int64)) if n else 0
+                    h2 = int(_mixed(s * _U(0xD6E8FEB86659FD93) + _U(1)).sum().view(np.int64)) if n else 0
+                    out.append((i, n, h1, h2, small_sketch(s).tobytes() if 0 < n <= LARGE / threshold else None, large_sketch(s).tobytes() if n >= LARGE else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "h1", "h2", "small", "large"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, small binary, large binary")
