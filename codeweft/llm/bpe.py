@@ -26,6 +26,7 @@ import json
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .common import shared_path, table, written
 LEXICON_WORDS = 100_000
 END = "</w>"
 #: Entries of a worker's memo of words; it is emptied when full.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 200_000
 DOCS_AT_ONCE = 200
 #: Words that a task counts before it hands them on.
 COUNTED_WORDS = 200_000
@@ -65,6 +66,7 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] or []}
         self.tokens |= {i: t for t, i in self.special.items()}
+        self._shown = [self.tokens.get(i, "").encode("utf-8") for i in range(max(self.tokens, default=-1) + 1)]
         self.ranks = {tuple(m): k for k, m in enumerate(spec["model"]["merges"])}
         self.alphabet = byte_alphabet()
         own = Tokenizer.from_file(path)
@@ -136,7 +138,11 @@ class Vocabulary:
         return [self.ids[x] for i, x in enumerate(s) if not gone[i]]
 
     def decode(self, ids) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return self.decode_bytes(ids).decode("utf-8")
+
+    def decode_bytes(self, ids) -> bytes:
+        """The decoded text in UTF-8."""
+        return b" ".join(map(self._shown.__getitem__, ids))
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> np.ndarray:
@@ -310,7 +316,7 @@ class Encoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo = self.memo
-        new = list(set().union(*parts) - memo.keys())
+        new = list(set(filterfalse(memo.__contains__, chain.from_iterable(parts))))
         for w, ids in zip(new, self.lexicon.find([w.encode("utf-8") for w in new]), strict=True):
             memo[w] = np.array(self.vocab.merge(w) if ids is None else ids, dtype="<u4").tobytes()
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
@@ -337,7 +343,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
                 own = [part.column(k) for k in range(len(keep))]
                 n = pa.array([len(x) // 4 for x in found], pa.int64())
                 if digests:
-                    decoded = [hashlib.sha256(encoder.vocab.decode(np.frombuffer(x, dtype="<u4").tolist()).encode("utf-8")).hexdigest() for x in found]
+                    decoded = [hashlib.sha256(encoder.vocab.decode_bytes(np.frombuffer(x, dtype="<u4").tolist())).hexdigest() for x in found]
                     more = [pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array(decoded, pa.string())]
                 else:
                     more = [pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))]
