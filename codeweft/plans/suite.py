@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scan
 from ..model import Graph, flag, kind, upsert
 from ..operators import folds, lookup, traverse
-from ..operators.coverage import coverage
+from ..operators.coverage import coverage, coverage_of, covered_methods
 from ..operators.escapes import escape_edges
 from ..operators.visibility import excess_visibility
 from ..projection import CTES, STEP, graph
@@ -39,8 +39,10 @@ def over_graph(name: str, sql: str | None = None):
     return add
 
 
-def covered(g: Graph, depth: int = 2) -> Graph:
-    return Graph.of(g.nodes, g.edges.unionByName(Graph.of(g.nodes, coverage(g, depth).withColumn("edge_seq", F.lit(9 * STEP) + F.xxhash64("src", "dst").bitwiseAND(F.lit((1 << 39) - 1)))).edges))
+def covered(g: Graph, covers: DataFrame) -> Graph:
+    """The graph with these Covers edges; coverage has no depth bound, as in the reference."""
+    covers = covers.withColumn("type", F.lit("Covers")).withColumn("edge_seq", F.lit(9 * STEP) + F.xxhash64(*[c for c in covers.columns if c in ("src", "dst")]).bitwiseAND(F.lit((1 << 39) - 1)))
+    return Graph.of(g.nodes, g.edges.unionByName(Graph.of(g.nodes, covers).edges))
 
 
 _COVER = """
@@ -95,7 +97,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @over_graph("uncovered_methods", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT node_id FROM nodes WHERE type = 'Method' AND NOT is_test AND NOT is_abstract AND lower(project) = 'europe' AND node_id NOT IN (SELECT dst FROM covers)")
 def _(g):
-    return lookup.uncovered_methods(covered(g), "EUROPE").select("node_id")
+    return lookup.uncovered_methods(covered(g, covered_methods(g)), "EUROPE").select("node_id")
 
 
 # One hop
@@ -121,16 +123,14 @@ def _(g):
 
 @over_graph("covering_tests", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT src AS test, depth::INT AS depth FROM covers WHERE dst = (SELECT min(dst) FROM covers)")
 def _(g):
-    g = covered(g)
-    first = g.edges.where("type = 'Covers'").agg(F.min("dst")).first()[0]
-    return lookup.covering_tests(g, first).select(F.col("node_id").alias("test"), "depth")
+    first = covered_methods(g).agg(F.min("dst")).first()[0]
+    return lookup.covering_tests(covered(g, coverage_of(g, first)), first).select(F.col("node_id").alias("test"), "depth")
 
 
 @over_graph("covered_methods", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT dst AS method, depth FROM covers WHERE src = (SELECT min(node_id) FROM nodes WHERE is_test)")
 def _(g):
-    g = covered(g)
     first = g.nodes.where(flag("is_test")).agg(F.min("node_id")).first()[0]
-    return lookup.covered_methods(g, first).select(F.col("node_id").alias("method"), "depth")
+    return lookup.covered_methods(covered(g, coverage(g, test=first)), first).select(F.col("node_id").alias("method"), "depth")
 
 
 # Traversal
@@ -203,7 +203,7 @@ def _(g):
 
 @over_graph("coverage", f"{RECURSIVE}, {_COVER.format(k=3)} SELECT src, dst, depth::INT AS depth FROM covers")
 def _(g):
-    return coverage(g, 3).select("src", "dst", "depth")
+    return coverage(g).select("src", "dst", "depth")
 
 
 _ESCAPES = f"""{RECURSIVE},
