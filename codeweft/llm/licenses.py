@@ -1,8 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is what stands between line breaks or sentence ends (``.``, ``!`` or ``?`` before white
-space); its tokens are its distinct words. A template is contained if at least ``threshold`` of its
-distinct tokens are in the block. The join finds all such pairs:
+space), or a window of as many consecutive words of the whole text as the template has, divided by
+``threshold`` and rounded up: line breaks and full stops do not cut windows, so that wrapped notices
+are found. A block's tokens are its distinct words. A template is contained if at least ``threshold`` of its
+distinct tokens are in a block. (Lines are not joined to longer blocks: long sentences hold a short
+template's words by chance. So a wrapped notice with more words put in between than a window has room
+for is not found.) The join finds all such pairs:
 
 * Tokens are ordered by their frequency in the whole corpus, rarest first. Only the tokens of
   templates need a frequency, so counting takes a table of the templates' size.
@@ -12,6 +16,9 @@ distinct tokens are in the block. The join finds all such pairs:
 * Positional filter: a first match at place i of the template's order leaves at most ``|T| - i``
   common tokens.
 * Candidates that are left are verified by the size of the intersection.
+* Windows are found in pieces of twice the longest window, which begin one longest window apart, so
+  that each window lies within a piece. Pieces pass the same filters as blocks; then the windows of
+  those that are left are verified one by one.
 
 The template table is code, of bounded size, and is broadcast. Documents never leave their
 partition until a few candidates do; there is no shuffle of words.
@@ -24,6 +31,7 @@ give a row each (doc_id may repeat: labels of one doc_id are those of all its ro
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -65,7 +73,8 @@ def _template_rows(spark: SparkSession, templates, threshold: float) -> DataFram
     values = ", ".join(f"({i}, '{label}', '{text.replace(chr(39), ' ')}')" for i, (label, text) in enumerate(templates))
     rows = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, body)")
     tokens = F.array_distinct(F.split(clean(F.col("body")), " "))
-    return rows.select("template", "label", F.explode(tokens).alias("token"), F.size(tokens).alias("size")).withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
+    words = F.size(F.split(clean(F.col("body")), " "))
+    return rows.select("template", "label", F.explode(tokens).alias("token"), F.size(tokens).alias("size"), words.alias("long")).withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
 
 
 #: As SEPARATORS, but for line breaks.
@@ -73,12 +82,16 @@ WITHIN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def cleaned_blocks(text: Column) -> Column:
-    """The words of a text in lower case, one space apart, and a line break between blocks."""
+    """The words of a text in lower case, one space apart, and a line break between lines and sentences."""
     return F.regexp_replace(F.lower(F.regexp_replace(text, r"[\n\r]+|[.!?]\s+", "\n")), WITHIN, " ")
 
 
+def _window(words: int, threshold: float) -> int:
+    return math.ceil(words / threshold - 1e-9)
+
+
 def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every (block, template) pair that meets the threshold: doc_id, template, label, containment, words."""
+    """Every pair of a template and a line's or sentence's block that meets the threshold, and, of each piece, the best window that does: doc_id, template, label, containment, words."""
     spark = docs.sparkSession
     rows = _template_rows(spark, templates, threshold)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
@@ -87,23 +100,37 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     frequency = written(every.join(F.broadcast(rows.select("token").distinct()), "token").groupBy("token").count(), "license-frequency")
     order = Window.partitionBy("template").orderBy(F.coalesce("count", F.lit(0)), "token")
     ranked = rows.join(frequency, "token", "left").withColumn("place", F.row_number().over(order) - 1)
-    ranked = ranked.select("template", "label", "token", "size", "need", "place").collect()  # words of the templates above
+    ranked = ranked.select("template", "label", "token", "size", "need", "long", "place").collect()  # words of the templates above
     prefixes = sorted({r["token"] for r in ranked if r["place"] <= r["size"] - r["need"]})
     # Prefix filter, on whole texts and then on blocks, before anything is exploded further.
     holds = F.lit(rf"(?<![^ \n])(?:{'|'.join(map(re.escape, prefixes))})(?![^ \n])")
     first = docs.select("doc_id", cleaned_blocks(F.col("text")).alias("text")).where(F.rlike("text", holds))
-    first = first.select("doc_id", F.explode(F.split("text", "\n")).alias("words")).where(F.rlike("words", holds))
-    first = first.select("doc_id", F.trim("words").alias("words"), F.array_distinct(F.split(F.trim("words"), " ")).alias("own"))
+    blocks = first.select("doc_id", F.explode(F.split("text", "\n")).alias("words")).where(F.rlike("words", holds))
+    blocks = blocks.select("doc_id", F.split(F.trim("words"), " ").alias("words"), F.lit(False).alias("piece"))
+    longest = max(_window(r["long"], threshold) for r in ranked)
+    whole = first.select("doc_id", F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ").alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(longest))
+    pieces = whole.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, 2 * longest))).alias("words"))
+    pieces = pieces.where(F.arrays_overlap("words", F.array(*map(F.lit, prefixes)))).withColumn("piece", F.lit(True))
+    first = blocks.unionByName(pieces).withColumn("own", F.array_distinct("words"))
     by = {}
     for r in sorted(ranked, key=lambda r: (r["template"], r["place"])):
-        by.setdefault((r["template"], r["label"], r["size"], r["need"]), []).append(r["token"])
-    listed = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(lab).alias("label"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.array(*[F.lit(x) for x in tokens]).alias("tokens")) for (t, lab, size, need), tokens in by.items()])
-    pairs = first.where(F.size("own") >= F.lit(min(k[3] for k in by))).select("doc_id", "words", "own", F.explode(listed).alias("t")).where(F.size("own") >= F.col("t.need"))
+        by.setdefault((r["template"], r["label"], r["size"], r["need"], _window(r["long"], threshold)), []).append(r["token"])
+    listed = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(lab).alias("label"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.lit(window).alias("window"), F.array(*[F.lit(x) for x in tokens]).alias("tokens")) for (t, lab, size, need, window), tokens in by.items()])
+    pairs = first.where(F.size("own") >= F.lit(min(k[3] for k in by))).select("doc_id", "words", "own", "piece", F.explode(listed).alias("t")).where(F.size("own") >= F.col("t.need"))
     head = F.slice(F.col("t.tokens"), 1, F.col("t.size") - F.col("t.need") + 1)
     place = F.array_position(F.col("t.tokens"), F.element_at(F.array_intersect(head, F.col("own")), 1))
     pairs = pairs.where(F.arrays_overlap(head, F.col("own"))).where(F.col("t.size") - place + 1 >= F.col("t.need"))
     pairs = pairs.withColumn("common", F.size(F.array_intersect(F.col("t.tokens"), F.col("own")))).where(F.col("common") >= F.col("t.need"))
-    return pairs.select("doc_id", F.col("t.template").alias("template"), F.col("t.label").alias("label"), (F.col("common") / F.col("t.size")).alias("containment"), "words")
+    # Of a piece, its best window counts; other blocks count whole.
+    window = F.col("t.window")
+    places = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
+    common = lambda i: F.size(F.array_intersect(F.col("t.tokens"), F.slice("words", i, window)))
+    best = F.array_max(F.transform(places, lambda i: F.struct(common(i).alias("common"), (-i).alias("back"))))
+    pairs = pairs.withColumn("best", F.when(F.col("piece"), best).otherwise(F.struct(F.col("common").alias("common"), F.lit(-1).alias("back"))))
+    pairs = pairs.where(F.col("best.common") >= F.col("t.need"))
+    words = F.array_join(F.when(F.col("piece"), F.slice("words", -F.col("best.back"), window)).otherwise(F.col("words")), " ")
+    return pairs.select("doc_id", F.col("t.template").alias("template"), F.col("t.label").alias("label"), (F.col("best.common") / F.col("t.size")).alias("containment"), words.alias("words"))
 
 
 def base_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
