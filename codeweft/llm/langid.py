@@ -4,12 +4,13 @@ Training counts byte n-grams (lower-cased text, anything but letters as one spac
 language in labelled documents. An n-gram belongs to every language in which it is at least
 ``TYPICAL`` times as frequent as where it is most frequent. The languages' sets become Bloom filters
 that share hash functions and are stored bit-sliced: the row of a hash value has one bit for each
-language, so the AND of an n-gram's rows is the bitmask of all languages that contain it. A text's
+language, so the AND of an n-gram's rows is the bitmask of all languages that contain it. Beyond 64
+languages a bitmask has several words, which are read one after the other. A text's
 per-language counts of hits, with each filter's expected false positives taken off, decide.
 
 Training takes at most about ``SAMPLE_PER_LANG`` documents of each language, drawn by a hash of
-their id (a documented bound; any corpus gives a model of the same size). Prediction reads every
-text whole.
+their id (a documented bound; the model grows with the number of languages, not with the corpus).
+All languages are learned, however many. Prediction reads every text whole.
 
 Defined results: ``und``, score 0, if the text is null or has no letter, or if nothing was learned.
 A text with letters of which no n-gram is known gets the language with most training documents,
@@ -35,8 +36,8 @@ SAMPLE_PER_LANG = 2000
 TYPICAL = 0.25
 MIN_COUNT = 8
 HASHES = 3
-#: A bitmask has 64 bits: of more languages, those with most documents are learned.
-MOST_LANGUAGES = 64
+#: Languages in a word of a bitmask.
+WORD_BITS = 64
 BITS_PER_GRAM = 12
 UNKNOWN = "und"
 DOCS_AT_ONCE = 128
@@ -73,16 +74,17 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    #: Rows of the bit-sliced filters; a power of two of them.
+    #: Words of a bitmask x rows of the bit-sliced filters; a power of two of rows.
     rows: np.ndarray
     #: Each filter's rate of false positives.
     false: np.ndarray
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each hash, the bitmask of languages whose filters hold it."""
-        last, out = np.uint64(len(self.rows) - 1), None
+    def masks(self, hashes: np.ndarray, word: int) -> np.ndarray:
+        """Of each hash, a word of the bitmask of languages whose filters hold it."""
+        rows, out = self.rows[word], None
+        last = np.uint64(len(rows) - 1)
         for k in range(HASHES):
-            found = self.rows[((hashes >> np.uint64(21 * k)) & last).astype(np.int64)]
+            found = rows[((hashes >> np.uint64(21 * k)) & last).astype(np.int64)]
             out = found if out is None else out & found
         return out
 
@@ -112,15 +114,17 @@ class Model:
         data = np.frombuffer(b"".join(p for _, p in pieces), dtype=np.uint8)
         sizes = np.array([len(p) for _, p in pieces])
         starts = np.cumsum(sizes) - sizes
-        masks = self.masks(gram_hashes(data))
+        hashes = gram_hashes(data)
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         left = np.repeat(sizes, sizes) - place
         owner = np.array([i for i, _ in pieces])
-        for i, n in enumerate(SIZES):
-            own = np.where((left >= n) & (place < PIECE), masks[i], 0)
-            for j in range(len(self.languages)):
-                found = np.add.reduceat((own >> self.rows.dtype.type(j)) & self.rows.dtype.type(1), starts, dtype=np.int64)
-                np.add.at(hits[:, j], owner, found)
+        for word in range(len(self.rows)):
+            masks, first = self.masks(hashes, word), word * WORD_BITS
+            for i, n in enumerate(SIZES):
+                own = np.where((left >= n) & (place < PIECE), masks[i], 0)
+                for j in range(min(WORD_BITS, len(self.languages) - first)):
+                    found = np.add.reduceat((own >> self.rows.dtype.type(j)) & self.rows.dtype.type(1), starts, dtype=np.int64)
+                    np.add.at(hits[:, first + j], owner, found)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -140,10 +144,8 @@ class Model:
 def build_model(grams: list[tuple[int, int, int]], languages: list[str]) -> Model:
     """``grams``: (language's number, hash, count). Languages stand in order of preference at ties."""
     if not languages:
-        return Model([], np.zeros(1, dtype=np.uint8), np.zeros(0))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"bitmasks hold {MOST_LANGUAGES} languages")
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
+        return Model([], np.zeros((1, 1), dtype=np.uint8), np.zeros(0))
+    kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
     lang = np.array([g[0] for g in grams], dtype=np.int64)
     h = np.array([g[1] for g in grams], dtype=np.int64).view(np.uint64)
     n = np.array([g[2] for g in grams], dtype=np.float64)
@@ -156,25 +158,26 @@ def build_model(grams: list[tuple[int, int, int]], languages: list[str]) -> Mode
     lang, h = lang[kept], h[kept]
     per = int(np.bincount(lang, minlength=len(languages)).max()) if len(lang) else 1
     size = 1 << max(10, (per * BITS_PER_GRAM).bit_length())
-    rows = np.zeros(size, dtype=kind)
-    bits = np.left_shift(np.ones(len(lang), dtype=kind), lang.astype(kind))
+    rows = np.zeros((-(-len(languages) // WORD_BITS), size), dtype=kind)
+    bits = np.left_shift(np.ones(len(lang), dtype=kind), (lang % WORD_BITS).astype(kind))
     for k in range(HASHES):
-        np.bitwise_or.at(rows, ((h >> np.uint64(21 * k)) & np.uint64(size - 1)).astype(np.int64), bits)
-    fill = np.array([np.count_nonzero(rows & kind(1 << j)) / size for j in range(len(languages))])
+        np.bitwise_or.at(rows, (lang // WORD_BITS, ((h >> np.uint64(21 * k)) & np.uint64(size - 1)).astype(np.int64)), bits)
+    fill = np.array([np.count_nonzero(rows[j // WORD_BITS] & kind(1 << j % WORD_BITS)) / size for j in range(len(languages))])
     return Model(languages, rows, fill**HASHES)
 
 
 def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """``labelled``: id, text, lang."""
     labelled = labelled.where("id is not null and lang is not null and text is not null")
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in known]
     if not languages:
         return build_model([], [])
-    rate = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, sample_per_lang / r["count"]))])
-    number = F.create_map(*[F.lit(x) for k, r in enumerate(known) for x in (r["lang"], k)])
-    labelled = labelled.where(F.col("lang").isin(*languages))
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000
+    # A row a language: a join, so that many of them make no long expression.
+    spark = labelled.sparkSession
+    numbers = spark.createDataFrame([(r["lang"], k, min(1.0, sample_per_lang / r["count"])) for k, r in enumerate(known)], "lang string, k int, rate double")
+    labelled = labelled.join(F.broadcast(numbers), "lang")
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000
 
     def count(batches):
         for batch in batches:
@@ -190,7 +193,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
 
-    grams = labelled.where(draw).select(number[F.col("lang")].alias("k"), "text").mapInArrow(count, "k int, h long, n long")
+    grams = labelled.where(draw).select("k", "text").mapInArrow(count, "k int, h long, n long")
     grams = grams.groupBy("k", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     pdf = grams.toPandas()  # bounded by the sample
     return build_model(list(zip(pdf["k"], pdf["h"], pdf["n"], strict=True)), languages)
