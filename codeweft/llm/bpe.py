@@ -243,6 +243,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+
 def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """word, n over the whole corpus: counted in each task, then summed."""
     name = sent(docs.sparkSession, tokenizer_path)
@@ -368,6 +369,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text of ``documents``, as digests; a row a document, a null text is an empty one."""
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)

@@ -15,33 +15,44 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 
-def roots(pairs) -> dict[int, int]:
-    """The smallest member of each node's component."""
-    up: dict[int, int] = {}
+class Forest:
+    """Union-find of whole numbers; a tree's root is its smallest member."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        top = x
+    def find(self, x: int) -> int:
+        top, up = x, self.up
         while (p := up.setdefault(top, top)) != top:
             top = p
         while up[x] != top:
             up[x], x = top, up[x]
         return top
 
-    for a, b in pairs:
-        x, y = find(a), find(b)
+    def link(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
         if x != y:
-            up[max(x, y)] = min(x, y)
-    return {x: find(x) for x in list(up)}
+            self.up[max(x, y)] = min(x, y)
+
+
+def roots(pairs) -> dict[int, int]:
+    """The smallest member of each node's component."""
+    forest = Forest()
+    for a, b in pairs:
+        forest.link(a, b)
+    return {x: forest.find(x) for x in list(forest.up)}
 
 
 def _stars(frames):
-    """(node, root) links of each partition; a batch at a time, so memory follows the forest, not the links."""
-    forest: dict[int, int] = {}
+    """(root, node) links of each partition; its memory follows the nodes, not the links."""
+    forest = Forest()
     for pdf in frames:
-        pairs = [*forest.items(), *zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)]
-        forest = {x: r for x, r in roots(pairs).items() if x != r}
-    if forest:
-        yield pd.DataFrame({"a": list(forest.values()), "b": list(forest)})
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            forest.link(a, b)
+    nodes = list(forest.up)
+    for k in range(0, len(nodes), 100_000):
+        some = [(forest.find(x), x) for x in nodes[k : k + 100_000]]
+        yield pd.DataFrame([(r, x) for r, x in some if r != x], columns=["a", "b"], dtype="int64")
 
 
 def components(links: DataFrame, one_task: int = 2_000_000, max_rounds: int = 60) -> DataFrame:
@@ -50,8 +61,8 @@ def components(links: DataFrame, one_task: int = 2_000_000, max_rounds: int = 60
     edges = written(links.mapInPandas(_stars, "a long, b long").distinct(), "links")
     n = edges.count()
     if n <= one_task:
-        done = edges.coalesce(1).mapInPandas(_stars, "a long, b long")
-        return written(done.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(done.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), "components")
+        done = written(edges.coalesce(1).mapInPandas(_stars, "a long, b long"), "components")
+        return done.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(done.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by product quantisation.
 
 1. Equal vectors of one label are one; the copy with the smallest id stands for all.
-2. A coarse quantiser (``lists`` centroids) and, on its residuals, a product quantiser (``SUBSPACES``
-   codebooks of ``CODES`` centroids) are fitted on a sample of at most about ``SAMPLE`` vectors, a
-   documented bound. Every vector is indexed: it stands in the inverted lists of its ``PROBES``
-   nearest centroids, with its residual codes against each, and probes the same lists.
+2. The coarse quantiser is itself a product: each half of a vector has ``k`` centroids, a list is a pair
+   of them, so k * k lists need a sample for k centroids alone. ``k`` grows with the square root of
+   the number of vectors (``ROWS_PER_LIST`` vectors a list) up to ``MOST_CENTROIDS``, a million lists.
+   On the residuals a product quantiser (``SUBSPACES`` codebooks of ``CODES`` centroids) is fitted,
+   both on a sample of at most about ``SAMPLE`` vectors, a documented bound. Every vector is indexed: it
+   stands in its ``PROBES`` nearest lists, with its residual codes in each, and probes the same lists.
 3. Within a list of a label, each vector's inner products with the codes of the others are looked up
    in a table of its products with all code words (asymmetric: the query isn't quantised). Those
    that reach the threshold less the quantiser's error (its ``ERROR_QUANTILE`` on the sample) are
@@ -33,13 +35,13 @@ from pyspark.sql import functions as F
 from .common import hot_join, table, written
 from .components import components, roots
 
-SAMPLE = 20_000
-SUBSPACES, CODES = 8, 64
-PROBES = 4
-MAX_LISTS = 512
-ROWS_PER_LIST = 400
+SAMPLE = 40_000
+SUBSPACES, CODES = 16, 256
+PROBES = 8
+MOST_CENTROIDS = 1024
+ROWS_PER_LIST = 100
 ERROR_QUANTILE = 0.9995
-CHUNK = 1024
+CHUNK = 4096
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -73,42 +75,69 @@ def _nearest(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    centers: np.ndarray
+    #: Centroids of the first and of the second half of the components.
+    halves: tuple[np.ndarray, np.ndarray]
     #: Column ranges of the subspaces and their code words.
     cuts: list[tuple[int, int]]
     words: list[np.ndarray]
     #: What an approximate product may fall short of the exact one.
     error: float
 
+    def lists(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each row (all, if there are fewer), nearest first."""
+        a, b = self.halves
+        cut, m = a.shape[1], len(b)
+        n, top = min(n, len(a) * m), (min(n, len(a)), min(n, m))
+        out = np.empty((len(x), n), dtype=np.int64)
+        for k in range(0, len(x), 4096):
+            near, far = [], []
+            for half, part, t in ((a, x[k : k + 4096, :cut], top[0]), (b, x[k : k + 4096, cut:], top[1])):
+                near.append(_nearest(part, half, t))
+                far.append((half**2).sum(axis=1)[near[-1]] / 2 - np.einsum("ij,ikj->ik", part, half[near[-1]]))
+            both = (far[0][:, :, None] + far[1][:, None, :]).reshape(len(near[0]), -1)
+            order = both.argsort(axis=1, kind="stable")[:, :n]
+            out[k : k + 4096] = np.take_along_axis(near[0], order // top[1], axis=1) * m + np.take_along_axis(near[1], order % top[1], axis=1)
+        return out
+
+    def centers(self, lists: np.ndarray) -> np.ndarray:
+        a, b = self.halves
+        return np.concatenate([a[lists // len(b)], b[lists % len(b)]], axis=-1)
+
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = x - self.centers[lists]
+        rest = x - self.centers(lists)
         return np.stack([_nearest(rest[:, a:b], w, 1)[:, 0] for (a, b), w in zip(self.cuts, self.words, strict=True)], axis=1).astype(np.uint8)
 
     def products(self, queries: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products of whole queries with coded vectors of one list, by table look-up."""
-        out = np.repeat((queries @ self.centers[center])[:, None], len(codes), axis=1)
+        out = np.repeat((queries @ self.centers(np.int64(center)))[:, None], len(codes), axis=1)
         for k, ((a, b), w) in enumerate(zip(self.cuts, self.words, strict=True)):
             out += (queries[:, a:b] @ w.T)[:, codes[:, k]]
         return out
 
 
-def fit_index(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
+def centroids_for(n: int, sampled: int) -> int:
+    """Centroids of each half for n vectors, of which so many are in the sample."""
+    return max(1, min(MOST_CENTROIDS, int((n / ROWS_PER_LIST) ** 0.5), sampled // 20))
+
+
+def fit_index(sample: np.ndarray, k: int, seed: int = 5) -> Index:
     dim = sample.shape[1]
-    centers = _kmeans(sample, lists, seed)
-    own = _nearest(sample, centers, PROBES)
-    rest = np.concatenate([sample - centers[own[:, k]] for k in range(own.shape[1])])
-    if len(rest) > SAMPLE:
-        rest = rest[np.random.default_rng(seed).choice(len(rest), SAMPLE, replace=False)]
+    cut = (dim + 1) // 2
+    index = Index((_kmeans(sample[:, :cut], k, seed), _kmeans(sample[:, cut:], k, seed + 99)), [], [], 0.0)
+    own = index.lists(sample, PROBES)
+    rng = np.random.default_rng(seed)
+    # Residuals against one of each vector's lists, near or less near.
+    pick = own[np.arange(len(sample)), rng.integers(0, own.shape[1], len(sample))]
+    rest = (sample - index.centers(pick))[:SAMPLE]
     edges = np.linspace(0, dim, min(SUBSPACES, dim) + 1).astype(int)
-    cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-    words = [_kmeans(rest[:, a:b], CODES, seed + 1 + k) for k, (a, b) in enumerate(cuts)]
-    index = Index(centers, cuts, words, 0.0)
+    index.cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    index.words = [_kmeans(rest[:, a:b], CODES, seed + 1 + k) for k, (a, b) in enumerate(index.cuts)]
     # The error that counts is that of a near vector's product: x.y - x.q(y) for x close to y.
     gaps = []
     for k in range(own.shape[1]):
         some, at = sample[:4000], own[:4000, k]
         codes = index.codes(some, at)
-        back = centers[at] + np.concatenate([w[codes[:, j]] for j, w in enumerate(words)], axis=1)
+        back = index.centers(at) + np.concatenate([w[codes[:, j]] for j, w in enumerate(index.words)], axis=1)
         gaps.append(((some - back) * some).sum(axis=1))
     index.error = float(np.quantile(np.concatenate(gaps), ERROR_QUANTILE)) + 0.05
     return index
@@ -138,7 +167,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
     rate = min(1.0, SAMPLE / n)
     drawn = distinct.where(F.pmod(F.xxhash64(F.lit("index sample"), "k1"), F.lit(1_000_000)) < rate * 1_000_000).select("v").toPandas()["v"].tolist()
     drawn = drawn or distinct.select("v").limit(1).toPandas()["v"].tolist()
-    index = spark.sparkContext.broadcast(fit_index(_unit(drawn, dim), max(1, min(MAX_LISTS, n // ROWS_PER_LIST, len(drawn) // 20))))
+    index = spark.sparkContext.broadcast(fit_index(_unit(drawn, dim), centroids_for(n, len(drawn))))
 
     def assign(batches):
         own = index.value
@@ -146,7 +175,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 x = _unit(part.column(3).to_pylist(), dim)
-                lists = _nearest(x, own.centers, probes)
+                lists = own.lists(x, probes)
                 width = lists.shape[1]
                 at = np.repeat(np.arange(len(x)), width)
                 flat = lists.reshape(-1)
@@ -231,6 +260,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
 
 
 def op7_embedding_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of ``embeddings``; a row a vector, see above for nulls and repeats."""
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 

@@ -14,7 +14,7 @@ fingerprinted in place: no term leaves its row but for the counting of document
 
 Defined results: null texts count as empty. A text without lexicon terms is fingerprinted by all its
 distinct terms, an empty one by the empty set; empty fingerprints are equal to one another. The
-next document is the next in (doc_id, text hash) order, null ids first; after the last comes the
+next document is the next in (doc_id, md5 of the text) order, null ids first; after the last comes the
 first. Repeated rows follow one another. Other columns are ignored.
 """
 
@@ -86,33 +86,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(filled, lambda p: p["a"] == p["b"])) / F.size(filled)
 
 
-def followed(rows: DataFrame, columns: list[str], rows_per_bucket: int = 4000, most_buckets: int = 100_000) -> DataFrame:
-    """``rows`` (with ``doc_id``, ``tie``) and next_<c>, the value of c in the row that follows.
+def followed(rows: DataFrame, columns: list[str], need: Column | None = None, cut: tuple[str, ...] = (), copies_at_once: int = 10_000) -> DataFrame:
+    """doc_id, ``columns`` and next_<c>, the value of c in the row that follows in the order of (doc_id, tie).
 
-    Ids are counted in equal cells; runs of cells form buckets of about ``rows_per_bucket`` rows,
-    which are sorted each on its own. A bucket's first row is also sent to the bucket before it.
+    ``rows``: doc_id, tie and the columns; rows equal in doc_id and tie are equal in all. Of the columns
+    in ``cut`` only the first ``need`` characters (of the row that gets them) are sent.
+
+    Only (doc_id, tie, need) are sorted, in ranges that Spark draws from a sample, so neither an odd
+    spread of ids nor a repeated id fills one task; each row is then joined by key with what the row
+    after it sends. Copies of a row are one in the sort and joins and are spread out at the end.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
-    n, low, high = rows.select(F.count("*"), F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
-    low, high = low or 0, high or 0
-    n_buckets = min(max(1, n // rows_per_bucket), most_buckets)
-    width = max(1, (high - low + 1) // (16 * n_buckets))
-    cell = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id").cast("long") - F.lit(low)) / F.lit(width))).cast("long")
-    # At most 16 * most_buckets rows or so, whatever n is.
-    cells = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(key).alias("first"))
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    cells = cells.withColumn("bucket", F.floor(before / F.lit(max(rows_per_bucket, n // n_buckets))).cast("int"))
-    heads = cells.groupBy("bucket").agg(F.min("first").alias("head"))
-    w = Window.orderBy("bucket")
-    heads = heads.withColumn("prev", F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    places = written(cells.join(heads, "bucket").select(F.col("cell").alias("at"), "bucket", "head", "prev"), "cells")
-    if 16 * n_buckets < 200_000:  # some 40 bytes a row
-        places = F.broadcast(places)
-    own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("copy"))
-    to = F.when(key == F.col("head"), F.array(own, F.struct(F.col("prev").alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    sent = rows.join(places, cell == F.col("at")).withColumn("to", F.explode(to)).select("doc_id", "tie", *columns, key.alias("key"), "to.b", "to.copy")
-    run = Window.partitionBy("b").orderBy("copy", "key", "tie")
-    return sent.select("doc_id", *columns, "copy", *[F.lead(c).over(run).alias(f"next_{c}") for c in columns]).where("copy = 0").drop("copy")
+    keys = ["doc_id", "tie"]
+    need = F.lit(0) if need is None else need
+    light = rows.select(*keys, need.cast("int").alias("need")).groupBy(*keys, "need").agg(F.count("*").alias("copies"))
+    order = written(light.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "order")
+    n, distinct = order.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    # The row before the first of a partition is the last of the partition before it that isn't empty. A row a partition.
+    part = F.shiftright("at", 33)
+    ends, by = order.groupBy(part.alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last")), Window.orderBy("part")
+    ends = ends.select("first", F.coalesce(F.lag("last").over(by), F.max("last").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    placed = order.join(F.broadcast(ends), order["at"] == ends["first"], "left").select(*keys, F.coalesce("before", F.col("at") - 1).alias("prev"))
+    goal = order.select(F.col("at").alias("prev"), F.col("doc_id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("need").alias("to_need"), F.col("copies").alias("to_copies"))
+    links = written(placed.join(goal, "prev").select(F.col("doc_id").alias("from_id"), F.col("tie").alias("from_tie"), "to_id", "to_tie", "to_need", "to_copies"), "order-links")
+    body = rows.select(*keys, *columns)
+    if n != distinct:
+        body = body.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns])
+    send = [(F.substring(F.col(c), F.lit(1), F.col("to_need")) if c in cut else F.col(c)).alias(f"next_{c}") for c in columns]
+    sent = body.join(links, F.expr("doc_id <=> from_id and tie = from_tie")).select("to_id", "to_tie", "to_copies", *send)
+    out = body.join(sent, F.expr("doc_id <=> to_id and tie = to_tie")).select("doc_id", *columns, *[f"next_{c}" for c in columns], "to_copies", *(["tie"] if n != distinct else []))
+    if n != distinct:
+        # The last copy is followed by the next row, the others by a copy of themselves.
+        out = written(out, "followed")
+        own = [(F.substring(F.col(c), F.lit(1), need.cast("int")) if c in cut else F.col(c)).alias(f"next_{c}") for c in columns]
+        runs = F.sequence(F.lit(0).cast("long"), F.expr(f"(to_copies - 2) div {copies_at_once}"))
+        more = out.where("to_copies > 1").withColumn("run", F.explode(runs)).repartition("tie", "run")
+        more = more.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(copies_at_once).cast("long"), F.col("to_copies") - 1 - F.col("run") * copies_at_once))))
+        out = out.unionByName(more.select("doc_id", *columns, *own, "to_copies", "tie"))
+    return out.select("doc_id", *columns, *[f"next_{c}" for c in columns])
 
 
 def fingerprints(docs: DataFrame, idf_band: tuple[float, float] = IDF_BAND, levels=LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,12 +147,16 @@ def _let(value: Column, body) -> Column:
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of ``documents`` and of its edited text, whose last quarter is the next document's beginning.
+
+    A row a document, repeated rows and null ids included; a null text is an empty one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sign = _signer(docs, IDF_BAND, LEVELS, "text")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text", sign(F.col("text")).alias("fingerprint"))
-    both = followed(rows, ["text", "fingerprint"])
     n, k = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
+    rows = docs.select("doc_id", F.md5("text").alias("tie"), "text", sign(F.col("text")).alias("fingerprint"))
+    both = followed(rows, ["text", "fingerprint"], need=k, cut=("text",))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), "next_text")
     both = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", sign(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return both.select(
@@ -150,4 +164,3 @@ def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
-

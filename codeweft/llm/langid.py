@@ -34,7 +34,9 @@ from .common import table
 SIZES = (3, 4, 5)
 SAMPLE_PER_LANG = 2000
 TYPICAL = 0.25
-MIN_COUNT = 8
+#: An n-gram must be seen once for each so many documents in the sample, but no more than MOST_COUNT times.
+DOCS_PER_COUNT = 50
+MOST_COUNT = 8
 HASHES = 3
 #: Languages in a word of a bitmask.
 WORD_BITS = 64
@@ -176,8 +178,9 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     # A row a language: a join, so that many of them make no long expression.
     spark = labelled.sparkSession
     numbers = spark.createDataFrame([(r["lang"], k, min(1.0, sample_per_lang / r["count"])) for k, r in enumerate(known)], "lang string, k int, rate double")
-    labelled = labelled.join(F.broadcast(numbers), "lang")
+    labelled = labelled.join(F.broadcast(numbers), "lang")  # a row a language
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000
+    need = {k: max(1, min(MOST_COUNT, int(min(r["count"], sample_per_lang) // DOCS_PER_COUNT))) for k, r in enumerate(known)}
 
     def count(batches):
         for batch in batches:
@@ -194,7 +197,8 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
 
     grams = labelled.where(draw).select("k", "text").mapInArrow(count, "k int, h long, n long")
-    grams = grams.groupBy("k", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    least = spark.createDataFrame(list(need.items()), "k int, least int")
+    grams = grams.groupBy("k", "h").agg(F.sum("n").alias("n")).join(F.broadcast(least), "k").where("n >= least").drop("least")
     pdf = grams.toPandas()  # bounded by the sample
     return build_model(list(zip(pdf["k"], pdf["h"], pdf["n"], strict=True)), languages)
 
@@ -224,6 +228,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learned from those not held out; a row a document, ``und`` for null texts and those without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
     return identify(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])

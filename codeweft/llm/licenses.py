@@ -26,7 +26,9 @@ partition until a few candidates do; there is no shuffle of words.
 Base places of a phrase are counted apart, over the words of the whole text.
 
 Defined results: null and empty texts have 0 words, no places and no labels; score 0. Repeated rows
-give a row each (doc_id may repeat: labels of one doc_id are those of all its rows).
+give a row each; rows that share a doc_id (or have none) get the labels of their own text, which goes
+along as a hash. Lower-casing takes all of Unicode: phrases and templates are ASCII, so this only
+folds the Kelvin sign to k beyond A-Z, a letter that no phrase has. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,10 +93,10 @@ def _window(words: int, threshold: float) -> int:
 
 
 def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every pair of a template and a line's or sentence's block that meets the threshold, and, of each piece, the best window that does: doc_id, template, label, containment, words."""
+    """Every pair of a template and a line's or sentence's block that meets the threshold, and, of each piece, the best window that does: doc_id, template, label, containment, words, and the text's hash."""
     spark = docs.sparkSession
     rows = _template_rows(spark, templates, threshold)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).where("text is not null")
     # Counts of template words over the whole corpus: words that no template has end in the hash join.
     every = docs.select(F.explode(F.split(cleaned_blocks(F.col("text")), "[ \n]")).alias("token"))
     frequency = written(every.join(F.broadcast(rows.select("token").distinct()), "token").groupBy("token").count(), "license-frequency")
@@ -104,20 +106,20 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     prefixes = sorted({r["token"] for r in ranked if r["place"] <= r["size"] - r["need"]})
     # Prefix filter, on whole texts and then on blocks, before anything is exploded further.
     holds = F.lit(rf"(?<![^ \n])(?:{'|'.join(map(re.escape, prefixes))})(?![^ \n])")
-    first = docs.select("doc_id", cleaned_blocks(F.col("text")).alias("text")).where(F.rlike("text", holds))
-    blocks = first.select("doc_id", F.explode(F.split("text", "\n")).alias("words")).where(F.rlike("words", holds))
-    blocks = blocks.select("doc_id", F.split(F.trim("words"), " ").alias("words"), F.lit(False).alias("piece"))
+    first = docs.select("doc_id", "hash", cleaned_blocks(F.col("text")).alias("text")).where(F.rlike("text", holds))
+    blocks = first.select("doc_id", "hash", F.explode(F.split("text", "\n")).alias("words")).where(F.rlike("words", holds))
+    blocks = blocks.select("doc_id", "hash", F.split(F.trim("words"), " ").alias("words"), F.lit(False).alias("piece"))
     longest = max(_window(r["long"], threshold) for r in ranked)
-    whole = first.select("doc_id", F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ").alias("words"))
+    whole = first.select("doc_id", "hash", F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ").alias("words"))
     starts = F.sequence(F.lit(1), F.size("words"), F.lit(longest))
-    pieces = whole.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, 2 * longest))).alias("words"))
+    pieces = whole.select("doc_id", "hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, 2 * longest))).alias("words"))
     pieces = pieces.where(F.arrays_overlap("words", F.array(*map(F.lit, prefixes)))).withColumn("piece", F.lit(True))
     first = blocks.unionByName(pieces).withColumn("own", F.array_distinct("words"))
     by = {}
     for r in sorted(ranked, key=lambda r: (r["template"], r["place"])):
         by.setdefault((r["template"], r["label"], r["size"], r["need"], _window(r["long"], threshold)), []).append(r["token"])
     listed = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(lab).alias("label"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.lit(window).alias("window"), F.array(*[F.lit(x) for x in tokens]).alias("tokens")) for (t, lab, size, need, window), tokens in by.items()])
-    pairs = first.where(F.size("own") >= F.lit(min(k[3] for k in by))).select("doc_id", "words", "own", "piece", F.explode(listed).alias("t")).where(F.size("own") >= F.col("t.need"))
+    pairs = first.where(F.size("own") >= F.lit(min(k[3] for k in by))).select("doc_id", "hash", "words", "own", "piece", F.explode(listed).alias("t")).where(F.size("own") >= F.col("t.need"))
     head = F.slice(F.col("t.tokens"), 1, F.col("t.size") - F.col("t.need") + 1)
     place = F.array_position(F.col("t.tokens"), F.element_at(F.array_intersect(head, F.col("own")), 1))
     pairs = pairs.where(F.arrays_overlap(head, F.col("own"))).where(F.col("t.size") - place + 1 >= F.col("t.need"))
@@ -130,18 +132,18 @@ def license_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     pairs = pairs.withColumn("best", F.when(F.col("piece"), best).otherwise(F.struct(F.col("common").alias("common"), F.lit(-1).alias("back"))))
     pairs = pairs.where(F.col("best.common") >= F.col("t.need"))
     words = F.array_join(F.when(F.col("piece"), F.slice("words", -F.col("best.back"), window)).otherwise(F.col("words")), " ")
-    return pairs.select("doc_id", F.col("t.template").alias("template"), F.col("t.label").alias("label"), (F.col("best.common") / F.col("t.size")).alias("containment"), words.alias("words"))
+    return pairs.select("doc_id", "hash", F.col("t.template").alias("template"), F.col("t.label").alias("label"), (F.col("best.common") / F.col("t.size")).alias("containment"), words.alias("words"))
 
 
 def base_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base (array of labels); a row a document."""
+    """doc_id, hash (of the text), n_words, n_base, first_word, last_word, base (array of labels); a row a document."""
     text = clean(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), text.alias("words"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     rows = rows.withColumn("n_words", F.when(F.col("words") == "", 0).otherwise(spaces(F.col("words")) + 1).cast("long"))
     # Two spaces between words: a phrase then ends and begins with a space of its own.
     wide = F.when(F.col("words").contains("license"), F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise("")
-    rows = rows.select("doc_id", "n_words", wide.alias("wide"))
+    rows = rows.select("doc_id", "hash", "n_words", wide.alias("wide"))
     counts, firsts, lasts, labels = [], [], [], []
     for label, phrase in PHRASES.items():
         mark = f" {phrase.replace(' ', '  ')} "
@@ -158,6 +160,7 @@ def base_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         labels.append(F.when(hit, F.lit(label)))
     return rows.select(
         "doc_id",
+        "hash",
         "n_words",
         reduce(lambda a, b: a + b, counts).alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"),
@@ -168,10 +171,10 @@ def base_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (largest containment found, 0 if none)."""
-    found = license_blocks(docs, templates, threshold, id_col, text_col).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
-    found = found.withColumnRenamed("doc_id", "found_id")
+    found = license_blocks(docs, templates, threshold, id_col, text_col).groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
+    found = found.withColumnsRenamed({"doc_id": "found_id", "hash": "found_hash"})
     base = base_places(docs, id_col, text_col)
-    joined = base.join(found, F.expr("doc_id <=> found_id"), "left")
+    joined = base.join(found, F.expr("doc_id <=> found_id and hash = found_hash"), "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
@@ -182,6 +185,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
+    """Base places and labels of every whole text of ``documents``; a row a document, see above for nulls and repeats."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 

@@ -31,6 +31,8 @@ from .common import WORD, table, written
 
 POINTS = 63
 ROUNDS = 6
+#: Blocks of a source at most: those of one epoch are ordered in one task (some 40 bytes each). Larger sources have larger blocks.
+MOST_BLOCKS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ def temperature_weights(counts: DataFrame, max_repeat: float | None = 4.0, min_e
         return Mix(1.0, budget or 0, 0, empty)
 
     def spent(a: float, z: float, most: float) -> float:
-        return float(budget) if budget else total * most ** (1 - a) * z
+        return float(budget) if budget is not None else total * most ** (1 - a) * z
 
     if min_entropy is not None:
         exponent = _largest(counts, total, lambda x: x, lambda a, z, l, most, least: math.log(z) - a * l / z >= min_entropy - 1e-12)
@@ -87,7 +89,7 @@ def temperature_weights(counts: DataFrame, max_repeat: float | None = 4.0, min_e
     all_in = int(round(spent(exponent, z, most)))
     weight = F.round(F.pow(share, F.lit(exponent)) / F.lit(z), 15)
     aim = F.round(weight * F.lit(all_in)).cast("long")
-    if not budget:  # rounding mustn't cost the largest source its last document
+    if budget is None:  # rounding mustn't cost the largest source its last document
         aim = F.greatest(aim, F.col("tokens"))
     return Mix(exponent, all_in, total, counts.select("source", "tokens", weight.alias("weight"), aim.alias("target"), (aim / F.col("tokens")).alias("repeats")))
 
@@ -105,11 +107,13 @@ def mix_sources(
     source_col: str = "source",
 ) -> DataFrame:
     """One row for each time a document is taken: doc_id, source, n_tokens, epoch, block, rank, place,
-    or the named columns of ``docs`` instead.
+    or the named columns of ``docs`` instead, in the order of the mix.
 
     ``rank``: the block's place in its source's permutation of that epoch; ``place`` (0 to 1): where
     the block stands in its source's whole run. Ordering by it interleaves the sources evenly.
-    Texts stay in their rows: the plan (a row a source, and a row a block and epoch) comes to them.
+    Texts stay in their rows while the mix is planned: the plan (a row a source, and a row a block and
+    epoch) comes to them. With ``columns`` the rows are then put into ranges of ``place`` and sorted
+    within them, so that a table written from the result holds the mix in its order of files and rows.
     """
     own = docs.select(
         *[F.col(c).alias(f"__{c}") for c in columns or []],
@@ -128,7 +132,7 @@ def mix_sources(
         F.coalesce(F.expr("target % tokens"), F.lit(0)).alias("rest"),
         F.coalesce("target", F.lit(0)).alias("target"),
         "tokens",
-        F.greatest(F.lit(16), F.ceil(F.col("tokens") / F.lit(block_tokens))).alias("n_blocks"),
+        F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(16), F.ceil(F.col("tokens") / F.lit(block_tokens)))).alias("n_blocks"),
     )
     plan = written(plan, "mix-plan")
 
@@ -162,9 +166,12 @@ def mix_sources(
     steps = written(epochs.join(last, F.expr("s <=> s3 and room is not null"), "left").drop("s3"), "mix-steps")
     taken = blocked(own).drop("s").join(steps, same).where(F.col("room").isNull() | ((F.col("n_tokens") > 0) & (draw <= F.col("last"))))
     if columns:
-        return taken.select(*[F.col(f"__{c}").alias(c) for c in columns])
+        # Within a place the order is by hash, so equal places of several sources and copies spread over tasks.
+        mixed = taken.select(*[F.col(f"__{c}").alias(c) for c in columns], F.col("place").alias("__place"), F.xxhash64("epoch", "at", "doc_id").alias("__tie"))
+        return mixed.repartitionByRange("__place", "__tie").sortWithinPartitions("__place", "__tie").select(*columns)
     return taken.select("doc_id", "source", "n_tokens", "epoch", "block", "rank", "place")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """A row for each time a document of ``documents`` is taken; see above for nulls, repeats and empty tables."""
     return mix_sources(table(spark, sf_dir, "documents"))

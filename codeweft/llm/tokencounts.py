@@ -6,9 +6,11 @@ summed and stored as one small table of partial totals. Totals are the sums over
 batches, so a batch costs its own size and never a pass over earlier documents.
 
 A commit is one rename of a finished folder to ``batch=<id>``: whole or not at all, and at most
-once. A batch whose id is committed already is not summed again; if its deltas differ from those
-committed under that id (their order-free digest does), ValueError is raised. ``compact`` replaces
-the committed batches by one table of totals that remembers their ids.
+once, also with two writers of one id. A batch whose id is committed already is not summed again; if
+its deltas differ from those committed under that id (their order-free digest does), ValueError is
+raised. ``compact`` sums the committed batches into one folder that names them and remembers their
+ids; the rename that shows it also hides them, and deleting them comes after. So a writer that is lost
+at any point leaves the totals and the ids as they were, and batches committed meanwhile stay.
 
 Defined results: null source, lang or tokenizer are keys like others; a null count is 0. Repeated
 rows in a batch count as often as they stand there. An empty batch commits an empty table. Keys
@@ -22,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .common import WORD, shared_path, table, written
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -55,35 +58,50 @@ class Ledger:
         self._fs.mkdirs(self._path(f"{self.path}/batches"))
 
     def _committed(self) -> list[str]:
-        return sorted(s.getPath().getName()[6:] for s in self._fs.listStatus(self._path(f"{self.path}/batches")) if s.getPath().getName().startswith("batch="))
+        """Folders that count: all but those that a compacted one covers."""
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/batches")))
+        compact = [n for n in names if n.startswith("compact=")]
+        covered = set()
+        if compact:
+            rows = self.spark.read.schema("folder string").parquet(*[f"{self.path}/batches/{n}/covers" for n in compact])
+            covered = {r["folder"] for r in rows.collect()}  # a name a folder
+        return [n for n in names if n not in covered and n.startswith(("batch=", "compact="))]
 
     def batches(self) -> list[str]:
         """The ids of all batches that the totals hold."""
-        found = set()
-        for b in self._committed():
-            found |= {r["batch"] for r in self._digests(b).collect()}  # a row a batch
-        return sorted(found)
+        return sorted(r["batch"] for r in self._digests(self._committed()).collect())  # a row a batch
 
-    def _digests(self, folder: str) -> DataFrame:
-        return self.spark.read.schema("batch string, digest long").parquet(f"{self.path}/batches/batch={folder}/digest")
+    def _digests(self, folders: list[str]) -> DataFrame:
+        """batch, digest of all these folders, by one scan."""
+        schema = "batch string, digest long"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/batches/{n}/digest" for n in folders])
+
+    def _known(self, batch: str) -> list[int]:
+        return [r["digest"] for r in self._digests(self._committed()).where(F.col("batch") == batch).collect()]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch; False if it was committed before."""
         if "/" in batch or not batch:
             raise ValueError(f"not a batch id: {batch!r}")
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        own_name = f"staged-{uuid.uuid4().hex}"
+        staged = f"{self.path}/{own_name}"
         sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.select(*[F.col(n).cast(t) for n, t in (x.split() for x in SCHEMA.split(", "))]).coalesce(1).write.parquet(f"{staged}/sums")
         # Fields of 31 bits: sums of hashes can't overflow a long.
         own = self.spark.read.schema(SCHEMA).parquet(f"{staged}/sums").agg(F.coalesce(F.sum(F.xxhash64(*KEYS, "docs", "tokens").bitwiseAND(F.lit(0x7FFFFFFF))), F.lit(0)).alias("digest"))
         digest = own.first()[0]
-        before = [r["digest"] for b in self._committed() for r in self._digests(b).where(F.col("batch") == batch).collect()]
+        before = self._known(batch)
         if not before:
             own.select(F.lit(batch).alias("batch"), "digest").coalesce(1).write.parquet(f"{staged}/digest")
-            goal = self._path(f"{self.path}/batches/batch={batch}")
-            if not self._fs.exists(goal) and self._fs.rename(self._path(staged), goal):
-                return True
-            before = [r["digest"] for r in self._digests(batch).collect()]
+            goal = f"{self.path}/batches/batch={batch}"
+            if not self._fs.exists(self._path(goal)) and self._fs.rename(self._path(staged), self._path(goal)):
+                if not self._fs.exists(self._path(f"{goal}/{own_name}")):
+                    return True
+                # Another writer came between: the folder was moved into theirs, where nothing reads it.
+                self._fs.delete(self._path(f"{goal}/{own_name}"), True)
+            before = self._known(batch)
         self._fs.delete(self._path(staged), True)
         if before != [digest]:
             raise ValueError(f"batch {batch} was committed with other deltas")
@@ -93,27 +111,37 @@ class Ledger:
         folders = self._committed()
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        sums = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batches/batch={b}/sums" for b in folders])
-        return sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return self._summed(folders).where("docs <> 0 or tokens <> 0")
+
+    def _summed(self, folders: list[str]) -> DataFrame:
+        sums = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batches/{n}/sums" for n in folders])
+        return sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def compact(self) -> None:
-        """One table of totals in place of the committed batches; call it while no other writer commits."""
+        """One table of totals in place of the committed batches."""
         folders = self._committed()
         if len(folders) < 2:
             return
-        staged, name = f"{self.path}/staged-{uuid.uuid4().hex}", f"compact-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{staged}/sums")
-        self.spark.read.schema("batch string, digest long").parquet(*[f"{self.path}/batches/batch={b}/digest" for b in folders]).coalesce(1).write.parquet(f"{staged}/digest")
-        old = f"{self.path}/replaced-{uuid.uuid4().hex}"
-        self._fs.rename(self._path(f"{self.path}/batches"), self._path(old))
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
-        self._fs.rename(self._path(staged), self._path(f"{self.path}/batches/batch={name}"))
-        self._fs.delete(self._path(old), True)
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        self._summed(folders).coalesce(1).write.parquet(f"{staged}/sums")
+        self._digests(folders).coalesce(1).write.parquet(f"{staged}/digest")
+        self.spark.createDataFrame([(n,) for n in folders], "folder string").coalesce(1).write.parquet(f"{staged}/covers")
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/batches/compact={uuid.uuid4().hex}")):
+            raise OSError(f"could not show the compacted folder of {self.path}")
+        for name in folders:
+            self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+
+
+def encoder_counts(docs: DataFrame, tokenizer_path: str, version: str, text_col: str = "text") -> DataFrame:
+    """source, lang, tokenizer, tokens of a vocabulary file's encoder, for ``inserts``; a row a document."""
+    coded = encode_documents(docs, tokenizer_path, text_col=text_col, keep=("source", "lang"))
+    return coded.select("source", "lang", F.lit(version).alias("tokenizer"), F.col("n_tokens").alias("tokens"))
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     """The life of ``documents`` in batches: loaded with provisional counts, counts revised, a second
-    tokenizer version added, exact copies deleted; two batches arrive twice. Returns the totals."""
+    tokenizer version added, exact copies deleted; two batches arrive twice. Returns the totals; a null
+    text has no tokens, null texts are copies of one another."""
     docs = table(spark, sf_dir, "documents")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     runs = F.coalesce(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")), F.lit(0))
@@ -122,14 +150,20 @@ def op1_token_counts(spark, sf_dir: str) -> DataFrame:
         "count-facts",
     )
     space, alnum = (facts.withColumn("tokenizer", F.lit(v)).withColumn("tokens", F.col(c)) for v, c in (("space-1", "words"), ("alnum-1", "runs")))
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
-    copies = facts.join(first, "digest").where("doc_id > keep").select("doc_id")
+    # Of equal texts one row stays; what goes is all of them less that one, as sums by text, source and language: no
+    # text's rows gather, and neither repeated nor missing ids matter.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang", "words", "runs")
+    parts = facts.groupBy("digest", "source", "lang").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("runs").alias("runs"), F.min(row).alias("kept"))
+    whole = parts.groupBy("digest").agg(F.sum("n").alias("rows"), F.min("kept").alias("kept")).where("rows > 1")
+    gone = parts.drop("kept").join(whole.select("digest"), "digest", "left_semi").select("source", "lang", "n", "words", "runs")
+    gone = written(gone.unionByName(whole.select("kept.source", "kept.lang", F.lit(-1).cast("long").alias("n"), (-F.col("kept.words")).alias("words"), (-F.col("kept.runs")).alias("runs"))), "gone")
+    copies = [gone.select("source", "lang", F.lit(v).alias("tokenizer"), (-F.col("n")).alias("docs"), (-F.col(c)).alias("tokens")) for v, c in (("space-1", "words"), ("alnum-1", "runs"))]
     ledger = Ledger(spark, shared_path(spark, "token-ledger"))
     batches = {
         "load": inserts(space.withColumn("tokens", F.col("guess"))),
         "revise": revisions(space.withColumn("old_tokens", F.col("guess"))),
         "alnum": inserts(alnum),
-        "copies": deletes(space.unionByName(alnum).join(copies, "doc_id", "left_semi")),
+        "copies": copies[0].unionByName(copies[1]),
     }
     for batch in ("load", "revise", "alnum", "revise", "copies", "alnum"):
         ledger.commit(batch, batches[batch])

@@ -7,7 +7,7 @@ import pytest
 
 from codeweft.llm.components import components, roots
 from codeweft.llm.embeddings import embedding_duplicates
-from codeweft.llm.minhash import WordHashes, estimated_jaccard, large_sketch, near_duplicates, shingle_set, small_sketch, without_duplicates
+from codeweft.llm.minhash import BANDS, ROWS, WordHashes, estimated_jaccard, near_duplicates, shingle_set, sketch, without_duplicates
 
 
 def test_components(spark):
@@ -85,7 +85,7 @@ def test_near_duplicates(spark, width):
 def test_estimates():
     rng = np.random.default_rng(4)
     memo = WordHashes()
-    for n, sketch in ((200, small_sketch), (5000, large_sketch)):
+    for n in (40, 200, 5000):
         words = [f"x{i}" for i in rng.integers(0, 10**6, n)]
         a = shingle_set(" ".join(words), 1, memo)
         b = shingle_set(" ".join(words[: int(n * 0.8)]), 1, memo)
@@ -94,6 +94,19 @@ def test_estimates():
         assert abs(got - true) < 0.12
 
 
+def test_bands_of_sets_of_all_sizes():
+    """Pairs at the threshold share a band, whether most buckets are empty or none is."""
+    rng = np.random.default_rng(8)
+    for n in (5, 9, 30, 150, 700, 3000):
+        for _ in range(60):
+            h = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+            c = -(-len(h) * 4 // 5)
+            d = (len(h) - c) // 2
+            order = rng.permutation(len(h))
+            a, b = sketch(np.sort(h[order[: c + d]])), sketch(np.sort(np.concatenate([h[order[:c]], h[order[c + d :]]])))
+            assert (a == b).reshape(BANDS, ROWS).all(axis=1).any(), n
+
+
 def test_embedding_duplicates(spark):
     rng = np.random.default_rng(6)
     rows, i = [], 0

@@ -222,7 +222,7 @@ def test_fingerprints(spark):
     assert near(0, 100) == 1.0 and near(0, 103) > 0.5 > near(0, 1) and near(101, 102) == 1.0
     assert fingerprints(docs(spark, [])).count() == 0
     line = spark.createDataFrame([(i * i if i else None, i, str(i)) for i in range(50)] + [(4, 0, "four")], "doc_id long, tie long, v string")
-    rows = followed(line, ["v"], rows_per_bucket=3).collect()
+    rows = followed(line, ["v"]).collect()
     order = ["0", "1", "four", *map(str, range(2, 50))]
     assert {r["v"]: r["next_v"] for r in rows} == dict(zip(order, order[1:] + order[:1], strict=True)) and len(rows) == 51
 
