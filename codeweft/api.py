@@ -85,8 +85,10 @@ class Tools:
 
     # Coverage, bodies, exceptions, visibility, names
 
-    def covering_tests(self, method: str, graph_id: str | None = None) -> DataFrame:
-        return lookup.covering_tests(self.graphs.require(graph_id), method)
+    def covering_tests(self, method: str, graph_id: str | None = None) -> tuple[DataFrame, str | None]:
+        """The tests, and a caveat if there are none."""
+        found = lookup.covering_tests(self.graphs.require(graph_id), method)
+        return found, "no test reaches it by calls that the graph has; reflection and configuration are not seen" if found.isEmpty() else None
 
     def covered_methods(self, test: str, graph_id: str | None = None) -> DataFrame:
         return lookup.covered_methods(self.graphs.require(graph_id), test)
@@ -126,9 +128,13 @@ class Tools:
         return lookup.server_to_script(self.graphs.require(graph_id))
 
 
-def report(rows: DataFrame, envelope: dict | None = None, as_json: bool = True, text_limit: int = 200) -> str:
-    """What a front end prints of a page of rows: a contract-numbered envelope or lines."""
-    data = [json.loads(x) for x in rows.limit(text_limit).toJSON().collect()]
+def report(rows: DataFrame, envelope: dict | None = None, as_json: bool = True, text_limit: int | None = None) -> str:
+    """What a front end prints of rows: a contract-numbered envelope of all of them, or lines. ``text_limit`` cuts
+    the lines alone, and says how many were left out."""
     if as_json:
+        data = [json.loads(x) for x in rows.toJSON().collect()]
         return json.dumps({"contract": CONTRACT, **(envelope or {}), "rows": data}, ensure_ascii=False)
-    return "\n".join("  ".join(str(v) for v in r.values()) for r in data)
+    shown = rows if text_limit is None else rows.limit(text_limit)
+    lines = ["  ".join(str(v) for v in json.loads(x).values()) for x in shown.toJSON().collect()]
+    left = 0 if text_limit is None or len(lines) < text_limit else rows.count() - len(lines)
+    return "\n".join([*lines, f"... and {left} more"] if left else lines)

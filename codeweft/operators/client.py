@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +71,19 @@ def composed_scopes(facts: DataFrame, includes: DataFrame) -> DataFrame:
     """page, data_keys, bound_keys, ids, dynamic_ids of what a page shows with its layout and partials. ``includes``: src, dst (pages)."""
     steps = settled(includes.select("src", "dst", F.lit(0).cast("long").alias("edge_seq")).distinct(), "includes")
     reach = bfs(facts.select(F.col("id").alias("page"), F.col("id").alias("node")), steps, None, keys=("page",))
-    rows = reach.select("page", "node").join(facts.select(F.col("id").alias("node"), "data_keys", "bound_keys", "ids", "dynamic_ids"), "node")
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return rows.groupBy("page").agg(union("data_keys").alias("data_keys"), union("bound_keys").alias("bound_keys"), union("ids").alias("ids"), F.sum("dynamic_ids").alias("dynamic_ids"))
+    rows = reach.select("page", "node").join(facts.select(F.col("id").alias("node"), *NAMES, "dynamic_ids"), "node")
+    return _unions(rows, "page", NAMES).join(rows.groupBy("page").agg(F.sum("dynamic_ids").alias("dynamic_ids")), "page")
+
+
+NAMES = ("data_keys", "bound_keys", "ids")
+
+
+def _unions(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """The sorted union of each array column by ``key``. Names are made distinct before they are gathered, so a list holds no
+    more than the different names, however many rows a key has."""
+    tagged = F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c).alias("of"), x.alias("name"))) for c in names])
+    every = rows.select(key, F.explode_outer(tagged).alias("t")).select(key, "t.of", "t.name").distinct()
+    return every.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("of") == c, F.col("name")))).alias(c) for c in names])
 
 
 def coupling_edges(scopes: DataFrame, loads: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -85,8 +97,8 @@ def coupling_edges(scopes: DataFrame, loads: DataFrame, scripts: DataFrame) -> D
 
 def rendered_for(scopes: DataFrame, loads: DataFrame) -> DataFrame:
     """script, data_keys, ids, dynamic of all pages that load it."""
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return loads.join(scopes, "page").groupBy("script").agg(union("data_keys").alias("data_keys"), union("ids").alias("ids"), F.bool_or(F.col("dynamic_ids") > 0).alias("dynamic"))
+    rows = loads.join(scopes, "page")
+    return _unions(rows, "script", ("data_keys", "ids")).join(rows.groupBy("script").agg(F.bool_or(F.col("dynamic_ids") > 0).alias("dynamic")), "script")
 
 
 def unbound_names(scopes: DataFrame, loads: DataFrame, scripts: DataFrame) -> DataFrame:

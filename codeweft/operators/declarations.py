@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 
 from ..model import TYPE_KINDS, ci, first_by, flag
 
+#: Names of attribute classes, with or without their suffix; ``suppress_arguments_for`` has full names.
 DEFAULT_POLICY: dict[str, Any] = {
-    "test_attributes": ["Fact", "Theory", "Test", "TestCase", "TestMethod", "DataTestMethod"],
-    "lifecycle_attributes": ["SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown", "TestInitialize", "TestCleanup"],
-    "payload_suppressed": ["InlineData", "TestCase", "DataRow"],
+    "test_attributes": ["Fact", "Theory", "Test", "TestCase", "TestCaseSource", "TestMethod", "DataTestMethod"],
+    "lifecycle_attributes": ["SetUp", "TearDown", "OneTimeSetUp", "OneTimeTearDown", "TestInitialize", "TestCleanup", "ClassInitialize", "ClassCleanup"],
+    "controller_attributes": ["ApiController"],
+    "bind_property_attributes": ["BindProperty"],
+    "suppress_arguments_for": [],
     "registering": [],
 }
-HANDLER_VERBS = ("Get", "Post", "Put", "Delete", "Patch", "Head", "Options")
+HANDLER_PREFIXES = tuple(f"On{v}" for v in "Get Post Put Delete Head Options Patch".split())
+
+
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
 
 
 def merged_policy(override: Mapping[str, Any] | None) -> dict[str, Any]:
@@ -29,44 +36,59 @@ def merged_policy(override: Mapping[str, Any] | None) -> dict[str, Any]:
     return DEFAULT_POLICY | {k: v for k, v in (override or {}).items() if v is not None}
 
 
+def carries(attributes: Column, names: Sequence[str]) -> Column:
+    """Does one of the attributes have one of these names, the suffix aside?"""
+    bare = lambda x: x.removesuffix("Attribute")
+    own = F.transform(F.coalesce(attributes, _no_names()), lambda a: F.regexp_replace(a, "Attribute$", ""))
+    return F.arrays_overlap(own, F.array(*[F.lit(bare(n)) for n in names])) if names else F.lit(False)
+
+
 # Classifiers
 
 
-def type_kind(name: Column, base: Column, is_interface: Column, attributes: Column) -> Column:
-    """Kind of a type by the shape of its name, bases and attributes."""
+def type_kind(name: Column, base: Column, is_interface: Column, attributes: Column, interfaces: Column | None = None, policy: Mapping[str, Any] = DEFAULT_POLICY) -> Column:
+    """Kind of a type by its base, attributes, name and interfaces (display names of all of them); the first rule that fits."""
+    base = F.coalesce(base, F.lit(""))
+    service = F.endswith(name, F.lit("Service"))
+    if interfaces is not None:
+        service = service | F.exists(F.coalesce(interfaces, _no_names()), lambda i: F.endswith(i, F.lit("Service")))
     return (
-        F.when(F.endswith(name, F.lit("PageModel")) | F.endswith(base, F.lit("PageModel")) | (F.endswith(name, F.lit("Model")) & F.endswith(base, F.lit("Page"))), "PageModel")
-        .when(F.endswith(name, F.lit("Controller")) | F.array_contains(attributes, "ApiController"), "ApiController")
-        .when(is_interface & F.rlike(name, F.lit(r"^I\p{Lu}.*(?:Service|Repository|Client|Provider|Manager|Factory|Store)$")), "ServiceInterface")
-        .when(~is_interface & F.rlike(name, F.lit(r"(?:Service|Repository|Client|Provider|Manager|Factory|Store)$")), "ServiceImplementation")
-        .when(F.rlike(name, F.lit(r"(?:ViewModel|Vm|Dto)$")), "ViewModel")
+        F.when(F.contains(base, F.lit("PageModel")), "PageModel")
+        .when(F.contains(base, F.lit("Controller")) | carries(attributes, policy["controller_attributes"]), "ApiController")
+        .when(service, F.when(is_interface, "ServiceInterface").otherwise("ServiceImplementation"))
+        .when(F.rlike(name, F.lit("(?:VM|ViewModel|Model)$")), "ViewModel")
         .otherwise("Class")
     )
 
 
-def entry_kind() -> Column:
-    """The first entry-point rule that a method fact row meets; columns of booleans and names."""
-    return (
+def entry_kind(policy: Mapping[str, Any] = DEFAULT_POLICY) -> Column:
+    """The first entry-point rule that a method fact row meets; columns of booleans and names. Tests have none."""
+    own = ~flag("is_static")
+    first = F.coalesce(F.get(F.coalesce("parameter_types", _no_names()), F.lit(0)), F.lit(""))
+    middleware = flag("is_middleware_type") | F.endswith(F.coalesce(F.regexp_extract("declaring_type", r"([^.:+]+)$", 1), F.lit("")), F.lit("Middleware"))
+    handler = F.rlike("name", F.lit(f"^(?:{'|'.join(HANDLER_PREFIXES)})"))
+    rules = (
         F.when(F.col("name").isin("Main", "<Main>$") & flag("is_static"), "main")
-        .when((F.col("owner_kind") == "PageModel") & F.rlike("name", F.lit(rf"^On(?:{'|'.join(HANDLER_VERBS)})")) & flag("is_public"), "pageHandler")
-        .when((F.col("owner_kind") == "ApiController") & flag("is_public") & ~flag("is_static"), "controllerAction")
+        .when((F.col("owner_kind") == "PageModel") & handler & flag("is_public") & own, "pageHandler")
+        .when((F.col("owner_kind") == "ApiController") & flag("is_public") & own, "controllerAction")
         .when(flag("is_event_handler"), "eventHandler")
         .when(flag("is_async") & (F.col("return_type") == "void"), "asyncVoid")
-        .when((F.col("name").isin("Invoke", "InvokeAsync")) & F.exists(F.coalesce("parameter_types", F.array().cast("array<string>")), lambda p: F.endswith(p, F.lit("HttpContext"))), "middleware")
         .when(flag("is_override") & flag("overrides_outside"), "frameworkOverride")
-        .when(flag("implements_outside"), "frameworkInterface")
+        .when(F.col("name").isin("Invoke", "InvokeAsync") & own & F.rlike(first, F.lit(r"(?:^|\.)HttpContext$")) & middleware, "middleware")
+        .when(flag("implements_outside") & own, "frameworkInterface")
     )
+    return F.when(~is_test(F.col("attributes"), policy), rules)
 
 
 def is_test(attributes: Column, policy: Mapping[str, Any] = DEFAULT_POLICY) -> Column:
-    return F.coalesce(F.arrays_overlap(attributes, F.array(*map(F.lit, policy["test_attributes"]))), F.lit(False))
+    return carries(attributes, policy["test_attributes"])
 
 
 def with_roles(methods: DataFrame, policy: Mapping[str, Any] = DEFAULT_POLICY) -> DataFrame:
     """is_test and is_test_lifecycle of methods (declaring_type, attributes); hooks count only in types with tests."""
     rows = methods.withColumn("is_test", is_test(F.col("attributes"), policy))
     tested = rows.where("is_test").select("declaring_type").distinct().withColumn("__tested", F.lit(True))
-    hook = F.coalesce(F.arrays_overlap("attributes", F.array(*map(F.lit, policy["lifecycle_attributes"]))), F.lit(False)) | flag("is_ctor") | flag("is_fixture_hook")
+    hook = carries(F.col("attributes"), policy["lifecycle_attributes"]) | flag("is_ctor") | flag("is_fixture_hook")
     return rows.join(tested, "declaring_type", "left").withColumn("is_test_lifecycle", hook & ~F.col("is_test") & F.coalesce("__tested", F.lit(False))).drop("__tested")
 
 
@@ -156,10 +178,10 @@ def implements_edges(methods: DataFrame, nodes: DataFrame) -> DataFrame:
 def attribute_edges(usages: DataFrame, nodes: DataFrame, policy: Mapping[str, Any] = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
     """``usages``: id, attribute (full name), name, assembly, target, line, source, args (JSON). Edges, and nodes for types outside.
 
-    A usage counts once for each (id, attribute, target, line, source, args); of attributes that only
-    carry test data the arguments are left out.
+    A usage counts once for each (id, attribute, target, line, source, args); arguments of the attributes
+    that the policy names (by default none) are left out.
     """
-    args = F.when(~F.col("name").isin(*policy["payload_suppressed"]), F.col("args"))
+    args = F.when(~F.col("attribute").isin(*policy["suppress_arguments_for"]), F.col("args"))
     rows = usages.withColumn("args", args).dropDuplicates(["id", "attribute", "target", "line", "source", "args"])
     rows = rows.join(type_index(nodes).withColumnRenamed("full_name", "attribute").withColumnRenamed("target", "declared"), "attribute", "left")
     to = F.coalesce("declared", F.concat(F.lit("ext:"), "attribute"))

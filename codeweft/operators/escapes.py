@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import HTTP_KINDS, Graph
-from ..store import settled
+from ..store import Rounds, settled, small
 
 
 def handles(guards: str | Column, chain: str | Column) -> Column:
@@ -21,48 +21,49 @@ def handles(guards: str | Column, chain: str | Column) -> Column:
 
 
 def escape_facts(graph: Graph, max_depth: int | None = None) -> DataFrame:
-    """method, exception_type, chain, conditional, depth, path (thrower first)."""
+    """method, exception_type, chain, conditional, depth, path (thrower first). Rounds are appended, never rewritten."""
+    keys, facts = ["method", "exception_type"], ["chain", "conditional", "depth", "path"]
+    best = F.min_by(F.struct(*facts), F.struct("conditional", "depth", "path")).alias("f")
     thrown = graph.nodes.where("throws is not null").select("node_id", F.explode("throws").alias("t"))
-    state = thrown.select(F.col("node_id").alias("method"), F.col("t.type").alias("exception_type"), F.col("t.chain").alias("chain"), F.coalesce("t.conditional", F.lit(False)).alias("conditional"))
-    best = F.min_by(F.struct("chain", "conditional", "depth", "path"), F.struct("conditional", "depth", "path")).alias("f")
-    state = state.withColumns({"depth": F.lit(0), "path": F.array("method")}).groupBy("method", "exception_type").agg(best).select("method", "exception_type", "f.*")
-    state = frontier = settled(state, "facts")
+    thrown = thrown.select(F.col("node_id").alias("method"), F.col("t.type").alias("exception_type"), F.col("t.chain").alias("chain"), F.coalesce("t.conditional", F.lit(False)).alias("conditional"))
+    thrown = thrown.withColumns({"depth": F.lit(0), "path": F.array("method")}).groupBy(*keys).agg(best).select(*keys, "f.*")
+    rounds = Rounds(graph.nodes.sparkSession, "facts")
+    frontier, n = rounds.add(thrown)
     calls = graph.edges.where("type = 'Calls'").select(F.col("src").alias("caller"), "dst", "guarded_by", "filtered_by")
     bound = graph.nodes.where("implements_methods is not null").select(F.col("node_id").alias("method"), F.explode("implements_methods").alias("dst"))
     steps = calls.withColumn("method", F.col("dst")).unionByName(calls.join(bound, "dst")).drop("dst")
     steps = settled(steps.join(graph.nodes.select(F.col("node_id").alias("caller")), "caller", "left_semi"), "callers")
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        moved = frontier.join(steps, "method").where(~handles("guarded_by", "chain"))
+        moved = steps.join(small(frontier, 4 * n), "method").where(~handles("guarded_by", "chain"))
         moved = moved.select(
-            F.col("caller").alias("method"), "exception_type", "chain", (F.col("conditional") | handles("filtered_by", "chain")).alias("conditional"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("caller")).alias("path")
+            F.col("caller").alias("method"), "exception_type", "chain", (F.col("conditional") | handles("filtered_by", "chain")).alias("conditional"), F.lit(depth).alias("depth"), F.concat("path", F.array("caller")).alias("path")
         )
-        moved = moved.groupBy("method", "exception_type").agg(best).select("method", "exception_type", "f.*")
-        old = state.select("method", "exception_type", F.col("conditional").alias("was"))
-        frontier = settled(moved.join(old, ["method", "exception_type"], "left").where("was is null or (was and not conditional)").drop("was"), "facts")
-        if frontier.isEmpty():
-            break
-        state = settled(state.join(frontier.select("method", "exception_type"), ["method", "exception_type"], "left_anti").unionByName(frontier), "facts")
-    return state
+        moved = moved.groupBy(*keys).agg(best).select(*keys, "f.*")
+        old = small(rounds.all().select(F.col("method").alias("m"), F.col("exception_type").alias("e"), F.col("conditional").alias("was")), rounds.n)
+        frontier, n = rounds.add(moved.join(old, F.expr("method = m and exception_type = e and (conditional or not was)"), "left_anti"))
+    return rounds.all().groupBy(*keys).agg(best).select(*keys, "f.*")  # a firm fact over the conditional one before it
 
 
 def escape_edges(graph: Graph, max_depth: int | None = None) -> DataFrame:
     """The Escapes edges: thrower, entry, type, depth, path, conditional, and which boundaries intercept them."""
     entries = graph.nodes.where("type = 'Method' and entry_point_kind is not null").select(F.col("node_id").alias("method"), "entry_point_kind")
-    rows = escape_facts(graph, max_depth).join(entries, "method")
+    rows = settled(escape_facts(graph, max_depth).join(entries, "method"), "escapes")
     borders = graph.nodes.where("type = 'Method' and (boundary_catches is not null or boundary_catches_filtered is not null)")
     borders = borders.select(F.col("node_id").alias("border"), "boundary_catches", "boundary_catches_filtered")
-    # Boundaries are joined by the types that they name: exploded on both sides, so the join has keys.
-    named = borders.select("border", F.explode(F.coalesce("boundary_catches", F.array().cast("array<string>"))).alias("name"), F.lit(True).alias("firm")).unionByName(
-        borders.select("border", F.explode(F.coalesce("boundary_catches_filtered", F.array().cast("array<string>"))).alias("name"), F.lit(False).alias("firm"))
+    none = F.array().cast("array<string>")
+    named = borders.select("border", F.explode(F.coalesce("boundary_catches", none)).alias("name"), F.lit(True).alias("firm")).unionByName(
+        borders.select("border", F.explode(F.coalesce("boundary_catches_filtered", none)).alias("name"), F.lit(False).alias("firm"))
     )
-    http = rows.where(F.col("entry_point_kind").isin(*HTTP_KINDS)).select("method", "exception_type", F.explode(F.concat("chain", F.array(F.lit("*")))).alias("name"))
-    hits = http.join(named, "name").where("border <> method").groupBy("method", "exception_type", "border").agg(F.bool_or("firm").alias("firm"))
-    hits = hits.groupBy("method", "exception_type").agg(
-        F.sort_array(F.collect_list(F.when(F.col("firm"), F.col("border")))).alias("firm"), F.sort_array(F.collect_list(F.when(~F.col("firm"), F.col("border")))).alias("maybe")
-    )
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return rows.join(hits, ["method", "exception_type"], "left").select(
+    # Boundaries are matched with each distinct chain of types once, not with each escape, then given to the escapes by chain.
+    http = F.col("entry_point_kind").isin(*HTTP_KINDS)
+    chains = rows.where(http).select("chain").distinct().select("chain", F.explode(F.array_distinct(F.concat("chain", F.array(F.lit("*"))))).alias("name"))
+    hits = chains.join(named, "name").groupBy("chain", "border").agg(F.bool_or("firm").alias("firm"))
+    lists = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("border"))))
+    hits = hits.groupBy("chain").agg(lists(F.col("firm")).alias("firm"), lists(~F.col("firm")).alias("maybe")).withColumn("http", F.lit(True))
+    others = lambda c: F.filter(c, lambda b: b != F.col("method"))
+    some = lambda c: F.when(F.size(others(c)) > 0, others(c))
+    return rows.withColumn("http", http).join(hits, ["chain", "http"], "left").select(
         F.col("path")[0].alias("src"), F.col("method").alias("dst"), F.lit("Escapes").alias("type"), "exception_type", "depth", "path", "conditional", some("firm").alias("intercepted_by"), some("maybe").alias("intercepted_conditionally_by")
     )

@@ -1,6 +1,6 @@
-"""Level-synchronous traversals: one join of the frontier with the edges, one anti join with what
-was visited, and one written table a level. Frontiers are small tables, so adaptive execution
-broadcasts them while they are, and shuffles them when they aren't."""
+"""Level-synchronous traversals: one job and one written table a level, in which the frontier meets the
+edges and what was visited drops out. The writing counts the rows, so a frontier is broadcast while it is
+small by that count, and shuffled when it isn't."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ANNOTATION_KINDS, Graph
-from ..store import settled
+from ..store import Rounds, settled, small
 
 FLOW_KINDS = ("Reads", "Writes", "BindsTo", "Calls", "InjectedInto", "ReturnsView", "Contains")
 RENDER_KINDS = ("UsesLayout", "RendersPartial", "RendersComponent", "DefinesSection")
@@ -26,51 +26,52 @@ def oriented(edges: DataFrame, kinds: Sequence[str] | None, direction: str) -> D
     return {"outgoing": rows, "incoming": back}.get(direction) or rows.unionByName(back)
 
 
-def bfs(starts: DataFrame, steps: DataFrame, max_depth: int | None, keys: Sequence[str] = (), free: DataFrame | None = None) -> DataFrame:
+def bfs(starts: DataFrame, steps: DataFrame, max_depth: int | None, keys: Sequence[str] = (), free: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """(keys, node, depth, edge_seq) of all that is reached, starts included at depth 0.
 
     ``starts``: keys and node; ``steps`` and ``free``: src, dst, edge_seq; steps cost 1, free ones 0.
-    Depth is the least cost; edge_seq the smallest edge on which a node is first reached.
+    Depth is the least cost; edge_seq the smallest edge on which a node is first reached. With ``ids``
+    (node_id) other nodes are neither shown nor passed. They are looked up for the frontier of each
+    level, whose size is known, so neither the edges nor the ids are shuffled while it is small.
     """
-    by = [*keys, "node"]
-
-    def hop(frontier: DataFrame, table: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
-        at = frontier.select(*keys, F.col("node").alias("src"))
-        found = at.join(table.select("src", "dst", "edge_seq"), "src").select(*keys, F.col("dst").alias("node"), "edge_seq")
-        return settled(found.groupBy(*by).agg(F.min("edge_seq").alias("edge_seq")).join(seen.select(*by), by, "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-
-    frontier = settled(starts.select(*by).distinct().select(*by, F.lit(None).cast("long").alias("edge_seq"), F.lit(0).alias("depth")), "frontier")
-    seen, depth = frontier, 0
-    while True:
-        fresh = frontier
-        while free is not None:
-            fresh = hop(fresh, free, seen, depth)
-            if fresh.isEmpty():
-                break
-            frontier, seen = frontier.unionByName(fresh), seen.unionByName(fresh)
+    by, spark = [*keys, "node"], starts.sparkSession
+    rounds = Rounds(spark, "reached")
+
+    def known(found: DataFrame, n: int) -> DataFrame:
+        return small(found, n) if ids is None else ids.select(F.col("node_id").alias("node")).join(small(found, n), "node").select(*found.columns)
+
+    def hop(frontier: DataFrame, n: int, table: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        at = known(frontier.select(*by), n).select(*keys, F.col("node").alias("src"))
+        found = table.select("src", "dst", "edge_seq").join(small(at, n), "src").groupBy(*keys, F.col("dst").alias("node")).agg(F.min("edge_seq").alias("edge_seq"))
+        found = found.join(small(rounds.all().select(*by), rounds.n), by, "left_anti").withColumn("depth", F.lit(depth))
+        return rounds.add(found.select(*by, "edge_seq", "depth"))
+
+    frontier, n = rounds.add(starts.select(*by).distinct().select(*by, F.lit(None).cast("long").alias("edge_seq"), F.lit(0).alias("depth")))
+    depth = 0
+    while n:
+        fresh, m = frontier, n
+        while free is not None and m:
+            fresh, m = hop(fresh, m, free, depth)
+            if m:
+                frontier, n = frontier.unionByName(fresh), n + m
         if max_depth is not None and depth >= max_depth:
-            return seen
+            break
         depth += 1
-        frontier = hop(frontier, steps, seen, depth)
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if depth % 10 == 0:
-            seen = settled(seen, "visited")
+        frontier, n = hop(frontier, n, steps, depth)
+    return known(rounds.all(), rounds.n)
 
 
-def _real(graph: Graph, steps: DataFrame) -> DataFrame:
-    """Steps to ids that are nodes: others are neither shown nor passed."""
-    return steps.join(graph.nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+def _ids(graph: Graph) -> DataFrame:
+    return graph.nodes.select("node_id")
 
 
 def traverse(graph: Graph, start: str, kinds: Sequence[str] | None = None, max_depth: int = 3, direction: str = "outgoing", transparent: Sequence[str] = ()) -> DataFrame:
     """node_id, depth, edge_seq of all nodes within ``max_depth``, without the start. ``transparent`` kinds cost nothing."""
-    steps = settled(_real(graph, oriented(graph.edges, kinds, direction)), "steps")
+    steps = oriented(graph.edges, kinds, direction)
     free = steps.where(F.col("type").isin(*transparent)) if transparent else None
     paid = steps.where(~F.col("type").isin(*transparent)) if transparent else steps
     starts = graph.nodes.where(F.col("node_id") == start).select(F.col("node_id").alias("node"))
-    return bfs(starts, paid, max_depth, free=free).where(F.col("node") != start).select(F.col("node").alias("node_id"), "depth", "edge_seq")
+    return bfs(starts, paid, max_depth, free=free, ids=_ids(graph)).where(F.col("node") != start).select(F.col("node").alias("node_id"), "depth", "edge_seq")
 
 
 def trace_data_flow(graph: Graph, start: str, max_depth: int = 3, direction: str = "outgoing") -> DataFrame:
@@ -90,19 +91,17 @@ def find_path(graph: Graph, start: str, goal: str, kinds: Sequence[str] | None =
     spark, schema = graph.nodes.sparkSession, "step int, src string, dst string, type string, edge_seq long"
     if start == goal:
         return spark.createDataFrame([], schema)
-    ids = graph.nodes.select(F.col("node_id").alias("src"))
-    steps = settled(oriented(graph.edges, kinds, direction).join(ids, "src", "left_semi").where(F.col("src") != goal), "steps")
-    seen = frontier = settled(spark.createDataFrame([(start,)], "node string"), "frontier")
+    steps, ids, rounds = oriented(graph.edges, kinds, direction), _ids(graph), Rounds(spark, "path")
+    none = F.lit(None).cast("struct<edge_seq:long,src:string,type:string>")
+    frontier, n = rounds.add(spark.range(1).select(F.lit(start).alias("node"), none.alias("via")))
     levels: list[DataFrame] = []
-    while max_depth is None or len(levels) < max_depth:
-        hop = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("edge_seq", "src", "type")).alias("via"))
-        frontier = settled(hop.join(seen, "node", "left_anti"), "frontier")
+    while n and (max_depth is None or len(levels) < max_depth):
+        at = ids.select(F.col("node_id").alias("src")).join(small(frontier.select(F.col("node").alias("src")), n), "src")
+        hop = steps.join(small(at, n), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("edge_seq", "src", "type")).alias("via"))
+        frontier, n = rounds.add(hop.join(small(rounds.all().select("node"), rounds.n), "node", "left_anti").select("node", "via"))
         levels.append(frontier)
-        if not frontier.where(F.col("node") == goal).isEmpty():
+        if n and not frontier.where(F.col("node") == goal).isEmpty():
             break
-        if frontier.isEmpty():
-            return None
-        seen, frontier = seen.unionByName(frontier.select("node")), frontier.select("node")
     else:
         return None
     out, at = [], goal
@@ -117,8 +116,7 @@ def relevance(graph: Graph, focus: Sequence[str], max_depth: int = 3, direction:
     """(node_id, relevance) with 1 / (1 + distance to the nearest focus), and the ids that aren't nodes."""
     found = graph.nodes.where(F.col("node_id").isin(*focus)).select(F.col("node_id").alias("node"))
     there = {r["node"] for r in found.collect()}  # no more than were asked for
-    steps = settled(_real(graph, oriented(graph.edges, None, direction)), "steps")
-    near = bfs(found, steps, max_depth)
+    near = bfs(found, oriented(graph.edges, None, direction), max_depth, ids=_ids(graph))
     return near.select(F.col("node").alias("node_id"), (1.0 / (1.0 + F.col("depth"))).alias("relevance")), [f for f in focus if f not in there]
 
 

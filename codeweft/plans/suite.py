@@ -11,12 +11,13 @@ from ..operators import folds, lookup, traverse
 from ..operators.coverage import coverage, coverage_of, covered_methods
 from ..operators.escapes import escape_edges
 from ..operators.visibility import excess_visibility
-from ..projection import CTES, STEP, graph
+from ..projection import CTES, LAYER_CTES, STEP, graph, layered_graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 WITH = f"WITH {CTES}"
 RECURSIVE = f"WITH RECURSIVE {CTES}"
+LAYERS = f"WITH RECURSIVE {LAYER_CTES}"
 
 
 def query(name: str, sql: str | None = None):
@@ -45,14 +46,25 @@ def covered(g: Graph, covers: DataFrame) -> Graph:
     return Graph.of(g.nodes, g.edges.unionByName(Graph.of(g.nodes, covers).edges))
 
 
+def over_layers(name: str, sql: str | None = None):
+    """A query of the layered graph alone."""
+
+    def add(f):
+        query(name, sql)(lambda spark, sf_dir: f(layered_graph(spark, sf_dir)))
+        return f
+
+    return add
+
+
+#: The whole closure: the recursion ends where no further step leads.
 _COVER = """
-steps AS (SELECT src, dst FROM edges WHERE type = 'Calls'),
+steps AS (SELECT src, dst FROM edges WHERE type = 'Calls' UNION ALL SELECT dst, src FROM edges WHERE type = 'Implements'),
 reach(test, node, d) AS (
-  SELECT node_id, node_id, 0 FROM nodes WHERE is_test
-  UNION SELECT r.test, s.dst, r.d + 1 FROM reach r JOIN steps s ON s.src = r.node WHERE r.d < {k}),
+  SELECT * FROM (SELECT node_id AS test, node_id AS node, 0 AS d FROM nodes WHERE is_test UNION ALL SELECT t.node_id, h.node_id, 0 FROM nodes t JOIN nodes h ON h.declaring_type = t.declaring_type WHERE t.is_test AND h.is_test_lifecycle)
+  UNION SELECT r.test, s.dst, r.d + 1 FROM reach r JOIN steps s ON s.src = r.node),
 covers AS (
   SELECT r.test AS src, r.node AS dst, min(r.d) AS depth FROM reach r JOIN nodes n ON n.node_id = r.node JOIN nodes t ON t.node_id = r.test
-  WHERE r.d > 0 AND n.type = 'Method' AND NOT n.is_test AND n.project <> t.project GROUP BY 1, 2)
+  WHERE r.d > 0 AND n.type = 'Method' AND NOT n.is_test AND NOT n.is_test_lifecycle AND n.project <> t.project GROUP BY 1, 2)
 """
 
 
@@ -95,7 +107,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint"), F.lit(0)).alias("k"))
 
 
-@over_graph("uncovered_methods", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT node_id FROM nodes WHERE type = 'Method' AND NOT is_test AND NOT is_abstract AND lower(project) = 'europe' AND node_id NOT IN (SELECT dst FROM covers)")
+@over_layers("uncovered_methods", f"{LAYERS}, {_COVER} SELECT node_id FROM nodes WHERE type = 'Method' AND NOT is_test AND NOT is_abstract AND lower(project) = 'europe' AND node_id NOT IN (SELECT dst FROM covers)")
 def _(g):
     return lookup.uncovered_methods(covered(g, covered_methods(g)), "EUROPE").select("node_id")
 
@@ -121,13 +133,13 @@ def _(g):
     return lookup.node_detail(g, "m:o10").select("direction", "other", "name", "edge_type")
 
 
-@over_graph("covering_tests", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT src AS test, depth::INT AS depth FROM covers WHERE dst = (SELECT min(dst) FROM covers)")
+@over_layers("covering_tests", f"{LAYERS}, {_COVER} SELECT src AS test, depth::INT AS depth FROM covers WHERE dst = (SELECT min(dst) FROM covers)")
 def _(g):
     first = covered_methods(g).agg(F.min("dst")).first()[0]
     return lookup.covering_tests(covered(g, coverage_of(g, first)), first).select(F.col("node_id").alias("test"), "depth")
 
 
-@over_graph("covered_methods", f"{RECURSIVE}, {_COVER.format(k=2)} SELECT dst AS method, depth FROM covers WHERE src = (SELECT min(node_id) FROM nodes WHERE is_test)")
+@over_layers("covered_methods", f"{LAYERS}, {_COVER} SELECT dst AS method, depth FROM covers WHERE src = (SELECT min(node_id) FROM nodes WHERE is_test)")
 def _(g):
     first = g.nodes.where(flag("is_test")).agg(F.min("node_id")).first()[0]
     return lookup.covered_methods(covered(g, coverage(g, test=first)), first).select(F.col("node_id").alias("method"), "depth")
@@ -201,15 +213,16 @@ def _(g):
 # Fixed points
 
 
-@over_graph("coverage", f"{RECURSIVE}, {_COVER.format(k=3)} SELECT src, dst, depth::INT AS depth FROM covers")
+@over_layers("coverage", f"{LAYERS}, {_COVER} SELECT src, dst, depth::INT AS depth FROM covers")
 def _(g):
     return coverage(g).select("src", "dst", "depth")
 
 
-_ESCAPES = f"""{RECURSIVE},
-chain(rem, type, anc) AS (VALUES (0, 'CustomException', 'CustomException'), (0, 'CustomException', 'InvalidOperationException'), (0, 'CustomException', 'SystemException'), (0, 'CustomException', 'Exception'),
+_CHAIN = """chain(rem, type, anc) AS (VALUES (0, 'CustomException', 'CustomException'), (0, 'CustomException', 'InvalidOperationException'), (0, 'CustomException', 'SystemException'), (0, 'CustomException', 'Exception'),
   (1, 'InvalidOperationException', 'InvalidOperationException'), (1, 'InvalidOperationException', 'SystemException'), (1, 'InvalidOperationException', 'Exception'),
-  (2, 'ArgumentException', 'ArgumentException'), (2, 'ArgumentException', 'SystemException'), (2, 'ArgumentException', 'Exception')),
+  (2, 'ArgumentException', 'ArgumentException'), (2, 'ArgumentException', 'SystemException'), (2, 'ArgumentException', 'Exception'))"""
+_ESCAPES = f"""{RECURSIVE},
+{_CHAIN},
 calls AS (SELECT src, dst, guard % 8 AS g FROM edges WHERE type = 'Calls'),
 steps AS (SELECT c.src, c.dst, t.type,
     (g = 0 OR (g = 1 AND t.type IN (SELECT type FROM chain WHERE anc = 'InvalidOperationException'))) AS stop,
@@ -236,6 +249,31 @@ def _(g):
     return lookup.escapes_report(g, "pageHandler", "custom", "asia").select("entry", "exception_type", "entry_kind")
 
 
+@over_layers(
+    "boundary_escapes",
+    f"""{LAYERS}, {_CHAIN},
+names(type, chain) AS (SELECT type, list(anc) FROM chain GROUP BY type),
+flow AS (
+  SELECT c.src AS entry, CASE t.thrown WHEN 0 THEN 'CustomException' WHEN 1 THEN 'InvalidOperationException' ELSE 'ArgumentException' END AS type, t.node_id AS thrower, c.guard AS g
+  FROM nodes t JOIN edges i ON i.src = t.node_id AND i.type = 'Implements' JOIN edges c ON c.dst = i.dst AND c.type = 'Calls' WHERE t.thrown IS NOT NULL),
+facts AS (
+  SELECT f.entry, f.type, f.thrower, (f.g = 2 AND list_contains(n.chain, 'CustomException')) OR (f.g = 5 AND list_contains(n.chain, 'SystemException')) AS conditional
+  FROM flow f JOIN names n USING (type) WHERE NOT (f.g = 1 AND list_contains(n.chain, 'InvalidOperationException'))),
+best AS (SELECT entry, type, first(thrower ORDER BY conditional, thrower) AS thrower, bool_and(conditional) AS conditional FROM facts GROUP BY 1, 2),
+hit AS (
+  SELECT n.type, b.node_id AS border, coalesce(b.firm = '*' OR list_contains(n.chain, b.firm), false) AS sure FROM names n JOIN nodes b
+  ON b.firm = '*' OR list_contains(n.chain, b.firm) OR b.maybe = '*' OR list_contains(n.chain, b.maybe)),
+lists AS (SELECT type, string_agg(border, ',' ORDER BY border) FILTER (sure) AS firm, string_agg(border, ',' ORDER BY border) FILTER (NOT sure) AS maybe FROM hit GROUP BY 1)
+SELECT b.thrower, b.entry, b.type AS exception_type, 1 AS depth, b.thrower || '>' || b.entry AS path, b.conditional, CASE WHEN e.entry_point_kind <> 'eventHandler' THEN l.firm END AS intercepted_by, CASE WHEN e.entry_point_kind <> 'eventHandler' THEN l.maybe END AS intercepted_conditionally_by
+FROM best b JOIN nodes e ON e.node_id = b.entry LEFT JOIN lists l ON l.type = b.type WHERE e.entry_point_kind IS NOT NULL""",
+)
+def _(g):
+    return escape_edges(g).select(
+        F.col("src").alias("thrower"), F.col("dst").alias("entry"), "exception_type", "depth", F.array_join("path", ">").alias("path"), "conditional",
+        F.array_join("intercepted_by", ",").alias("intercepted_by"), F.array_join("intercepted_conditionally_by", ",").alias("intercepted_conditionally_by"),
+    )
+
+
 @over_graph("excess_visibility")
 def _(g):
     return excess_visibility(g, "ASIA").select("node_id", "kind", "name", F.array_join("consumed_by", ",").alias("consumed_by"))

@@ -45,7 +45,7 @@ def brute(nodes, edges) -> dict[tuple[str, str], int]:
 def run(spark, monkeypatch):
     nodes, edges = small()
     g = Graph.build(spark, nodes, [{"src": a, "dst": b, "type": t} for a, t, b in edges])
-    monkeypatch.setattr(suite, "graph", lambda spark, sf_dir: g)
+    monkeypatch.setattr(suite, "layered_graph", lambda spark, sf_dir: g)
     return lambda name: [tuple(r) for r in suite.QUERIES[name](spark, "").collect()]
 
 

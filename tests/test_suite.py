@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from codeweft.plans.suite import ORACLE_SQL, QUERIES
+from codeweft.plans import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each family; the driver runs them all.
-SOME = ["deep_methods", "node_detail", "trace_data_flow", "find_path", "coverage", "call_fold", "quote_edges", "page_links", "property_bag"]
+SOME = ["deep_methods", "node_detail", "trace_data_flow", "find_path", "coverage", "call_fold", "quote_edges", "page_links", "property_bag",
+    "boundary_escapes", "page_facts", "composed_scopes", "rendered_names", "shape_verdicts", "entry_kinds", "lua_calls", "rule_order", "body_differences", "saved_nodes", "refusals"]
 
 
 @pytest.fixture(scope="module")
