@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scan
@@ -81,8 +81,11 @@ NAMES = ("data_keys", "bound_keys", "ids")
 def _unions(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """The sorted union of each array column by ``key``. Names are made distinct before they are gathered, so a list holds no
     more than the different names, however many rows a key has."""
-    tagged = F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, c=c: F.struct(F.lit(c).alias("of"), x.alias("name"))) for c in names])
-    every = rows.select(key, F.explode_outer(tagged).alias("t")).select(key, "t.of", "t.name").distinct()
+
+    def tagged(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(c).alias("of"), x.alias("name")))
+
+    every = rows.select(key, F.explode_outer(F.concat(*map(tagged, names))).alias("t")).select(key, "t.of", "t.name").distinct()
     return every.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col("of") == c, F.col("name")))).alias(c) for c in names])
 
 
