@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import shared_path, table, written
+from .common import CACHES, lean, shared_path, small_batches, table, written
 
 LEXICON_WORDS = 100_000
 END = "</w>"
@@ -243,9 +243,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+CACHES["bpe"] = vocabulary.cache_clear
+
 
 def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """word, n over the whole corpus: counted in each task, then summed."""
+    small_batches(docs.sparkSession)
     name = sent(docs.sparkSession, tokenizer_path)
 
     def count(batches):
@@ -266,7 +269,7 @@ def count_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
             some = words[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([n[w] for w in some], pa.int64())], names=["word", "n"])
 
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(lean(count, "bpe"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def sent(spark: SparkSession, path: str) -> str:
@@ -350,11 +353,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_words: int =
                     more = [pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in found], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*own, n, *more], names=[*keep, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, "bpe"), schema)
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and text, from rows of ids; null ids give the empty text."""
+    small_batches(encoded.sparkSession)
     name = sent(encoded.sparkSession, tokenizer_path)
     rows = encoded.select(*keep, F.col(ids_col).alias("__ids"))
     schema = StructType([*rows.schema.fields[: len(keep)], StructField("text", StringType())])
@@ -365,7 +369,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
             texts = pa.array([vocab.decode(x or []) for x in batch.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), texts], names=[*keep, "text"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, "bpe"), schema)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,41 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: What crosses between the JVM and Python at once: texts of any length, so bytes count, not rows alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: What modules keep in a worker between tasks, by name: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of an Arrow batch where they are higher."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def lean(run, keeps: str = ""):
+    """A function of batches for a worker that others use next: caches but that of ``keeps`` are dropped
+    before it, and at its end what was freed goes back to the machine."""
+
+    def wrapped(batches):
+        for name, drop in CACHES.items():
+            if name != keeps:
+                drop()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, LOWER)

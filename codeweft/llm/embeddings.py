@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, table, written
+from .common import hot_join, lean, small_batches, table, written
 from .components import components, roots
 
 SAMPLE = 40_000
@@ -153,6 +153,7 @@ def _unit(rows: list, dim: int) -> np.ndarray:
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", probes: int = PROBES, one_task: int = 2_000_000) -> DataFrame:
     """vec_id, n_links, component_id, kept; a row a vector."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull()
     fine = fine & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
@@ -196,7 +197,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
 
     kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # no wider than it came
     entries = distinct.select("rep", "label", "copies", F.col("v").cast(f"array<{kind}>").alias("v")).mapInArrow(
-        assign, f"rep long, label string, copies long, list int, lists array<int>, codes binary, v array<{kind}>"
+        lean(assign), f"rep long, label string, copies long, list int, lists array<int>, codes binary, v array<{kind}>"
     )
     entries = written(entries, "inverted-lists")
     sizes = entries.groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))

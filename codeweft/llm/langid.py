@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import lean, small_batches, table
 
 SIZES = (3, 4, 5)
 SAMPLE_PER_LANG = 2000
@@ -173,6 +173,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     labelled = labelled.where("id is not null and lang is not null and text is not null")
     known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in known]
+    small_batches(labelled.sparkSession)
     if not languages:
         return build_model([], [])
     # A row a language: a join, so that many of them make no long expression.
@@ -196,7 +197,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
 
-    grams = labelled.where(draw).select("k", "text").mapInArrow(count, "k int, h long, n long")
+    grams = labelled.where(draw).select("k", "text").mapInArrow(lean(count), "k int, h long, n long")
     least = spark.createDataFrame(list(need.items()), "k int, least int")
     grams = grams.groupBy("k", "h").agg(F.sum("n").alias("n")).join(F.broadcast(least), "k").where("n >= least").drop("least")
     pdf = grams.toPandas()  # bounded by the sample
@@ -205,6 +206,7 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` and, under ``names``, the predicted language and its score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inside = text_col in keep
     rows = docs.select(*keep) if inside else docs.select(*keep, text_col)
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
                 more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *more], names=[*keep, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, table, written
+from .common import hot_join, lean, small_batches, table, written
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n", "h1", "h2", "registers"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, registers binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, h1 long, h2 long, registers binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
             keep = estimated_jaccard(_registers(pdf["registers_a"]), _registers(pdf["registers_b"]), n, m) >= least_estimate(threshold, n, m)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long").distinct()
+    return both.mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_co
                 sets = [shingle_set(t, width, memo).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
 
-    sets = written(texts.mapInArrow(run, "doc_id long, items array<long>"), "pair-sets")
+    sets = written(texts.mapInArrow(lean(run), "doc_id long, items array<long>"), "pair-sets")
     own = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
     common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
@@ -223,6 +223,7 @@ def _cross_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataF
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", one_task: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; a row a document."""
     threshold = percent / 100
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs, width, id_col, text_col), "sketches")
     real = rows.where("n > 0 and doc_id is not null")
     reps = written(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct-sets")
