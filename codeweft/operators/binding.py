@@ -75,6 +75,13 @@ def shape_bindings(shapes: DataFrame, templates: DataFrame, visible: DataFrame |
     return best.select("name", "template", F.col("b.matched_as").alias("matched_as"), (F.row_number().over(order) - 1).alias("rank"))
 
 
+def bound_edges(bindings: DataFrame, templates: DataFrame) -> DataFrame:
+    """BoundBy edges from a shape to every template that can serve it, with rank, kind of template and the name that matched."""
+    kind = F.when(F.endswith(F.lower("path"), F.lit(".liquid")), "liquid").otherwise("razor")
+    rows = bindings.join(templates.select(F.col("id").alias("template"), "path"), "template")
+    return rows.select(F.concat(F.lit("shape:"), "name").alias("src"), F.col("template").alias("dst"), F.lit("BoundBy").alias("type"), F.to_json(F.struct("rank", kind.alias("bindingKind"), F.col("matched_as").alias("matchedAs"))).alias("props"))
+
+
 def shape_verdicts(shapes: DataFrame, bindings: DataFrame, rules: DataFrame) -> DataFrame:
     """name, verdict: bound, renderSuppressed (an unconditional rule hides it), noRequiredProducer or unbound (a finding)."""
     hidden = rules.groupBy(F.col("shape").alias("name")).agg(F.bool_or(F.col("hides") & F.col("unconditional")).alias("hidden"))

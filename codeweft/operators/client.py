@@ -38,6 +38,23 @@ def page_nodes(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("id").alias("node_id"), F.when(F.col("is_page"), "RazorPage").otherwise("PartialView").alias("type"), name.alias("name"), F.col("path").alias("file_path"), "model_type", F.to_json(F.struct(F.size("inline").alias("inlineScriptCount"), F.col("route").alias("routeTemplate"), "layout", F.col("view_data_keys").alias("viewDataKeys"), "sections")).alias("props"))
 
 
+def tag_helpers(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the tags that bind a property (asp-for), one a page and line, and edges: RendersComponent from the page, BindsTo
+    to the first node that has the page's model as its name or full name."""
+    rows = facts.select("id", "path", "model_type", F.posexplode("tag_helpers").alias("k", "t")).where(F.map_contains_key("t.attributes", "asp-for"))
+    name = F.regexp_replace(F.element_at("t.attributes", "asp-for"), r"^[\x22\x27]+|[\x22\x27]+$", "")
+    rows = rows.select("id", "path", "model_type", "k", F.concat_ws(":", F.lit("th"), "id", F.col("t.line").cast("string")).alias("node_id"), name.alias("property"), F.col("t.tag").alias("tag"), F.col("t.line").alias("line"))
+    last = rows.groupBy("node_id").agg(F.max_by(F.struct("id", "path", "model_type", "property", "tag", "line"), "k").alias("r")).select("node_id", "r.*")
+    shown = last.select(
+        "node_id", F.lit("TagHelperInvocation").alias("type"), F.concat("tag", F.lit(' asp-for="'), "property", F.lit('"')).alias("name"), F.col("path").alias("file_path"), F.col("line").alias("line_start"),
+        F.to_json(F.struct("property", F.col("tag").alias("tagName"))).alias("props"),
+    )
+    keys = nodes.select("node_id", "node_seq", F.explode(F.array_distinct(F.array_compact(F.array("name", "full_name")))).alias("model_type"))
+    models = keys.groupBy("model_type").agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target"))
+    edge = lambda df, a, b, t: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("type"))
+    return shown, edge(rows, "id", "node_id", "RendersComponent").unionByName(edge(rows.join(models, "model_type"), "node_id", "target", "BindsTo"))
+
+
 def inline_scripts(facts: DataFrame) -> DataFrame:
     """id (page#inline-n), path, text, page of scripts inside pages."""
     rows = facts.select(F.col("id").alias("page"), "path", F.posexplode("inline").alias("k", "text"))

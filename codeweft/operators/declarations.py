@@ -221,11 +221,11 @@ def majority_source(parts: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pages``: id, model_type, layout, page_model. PageServedBy with its mirror ReturnsView, HasModel and UsesLayout."""
-    names = nodes.where(F.col("type").isin(*TYPE_KINDS)).select("node_id", "node_seq", "type", F.explode(F.array_distinct(F.array_compact(F.array("name", "full_name")))).alias("key"))
-    first = names.groupBy("key").agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target"))
+    """``pages``: id, model_type, layout, page_model. PageServedBy with its mirror ReturnsView, HasModel (the first view model or class of that name) and UsesLayout."""
+    names = nodes.where(F.col("type").isin("PageModel", "ViewModel", "Class")).select("node_id", "node_seq", "type", F.explode(F.array_distinct(F.array_compact(F.array("name", "full_name")))).alias("key"))
+    first = names.where("type <> 'PageModel'").groupBy("key").agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target"))
     served = pages.select("id", F.coalesce("page_model", "model_type").alias("key")).join(names.where("type = 'PageModel'").groupBy("key").agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target")), "key")
-    model = pages.select("id", F.col("model_type").alias("key")).join(first, "key").join(served.select("id", "target"), ["id", "target"], "left_anti")
+    model = pages.select("id", F.col("model_type").alias("key")).join(first, "key")
     layouts = nodes.where(F.col("type").isin("PartialView", "RazorPage", "Layout")).groupBy(F.col("name").alias("layout")).agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target"))
     laid = pages.select("id", "layout").join(layouts, "layout")
     edge = lambda df, a, b, t: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("type"))

@@ -39,6 +39,12 @@ def function_nodes(functions: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("mod:"), "module", F.lit("."), "name", F.lit("#"), "line").alias("node_id"), F.lit("Method").alias("type"), "name", F.concat(F.lit("mod:"), "module").alias("declaring_type"), F.col("line").alias("line_start"))
 
 
+def external_nodes(resolved: DataFrame) -> DataFrame:
+    """Nodes of the host's functions that calls lead to, once each."""
+    rows = resolved.where("outcome = 'external'").select("target").distinct()
+    return rows.select(F.col("target").alias("node_id"), F.lit("Method").alias("type"), F.regexp_replace("target", "^ext:", "").alias("name"), F.to_json(F.struct(F.lit(True).alias("external"))).alias("props"))
+
+
 def resolved_references(references: DataFrame, modules: DataFrame, external: DataFrame) -> DataFrame:
     """Each reference with target (module) and outcome: inGraph, external or unresolved. ``external``: module."""
     own = modules.select(F.col("module").alias("target"), F.explode(F.array_distinct(F.array("module", F.concat("module", F.lit(".init")), last_segment(F.col("module"))))).alias("name"))
@@ -77,9 +83,9 @@ def call_report(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def external_calls(resolved: DataFrame) -> DataFrame:
-    """module, functions (sorted) of the host's API that each module calls."""
-    return resolved.where("outcome = 'external'").groupBy("module").agg(F.sort_array(F.collect_set(F.regexp_replace("target", "^ext:", ""))).alias("functions"))
+def external_calls(resolved: DataFrame, by: Sequence[str] = ("module",)) -> DataFrame:
+    """module, functions (sorted) of the host's API that each module calls; with ``by`` module and function, of each function."""
+    return resolved.where("outcome = 'external'").groupBy(*by).agg(F.sort_array(F.collect_set(F.regexp_replace("target", "^ext:", ""))).alias("functions"))
 
 
 def verdicts(used: DataFrame, catalogue: DataFrame) -> DataFrame:

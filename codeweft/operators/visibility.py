@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import TYPE_KINDS, Graph, ci, flag, kind
 from ..store import settled
 from .lookup import in_project, test_projects
+from .traverse import bfs
 
 
 def _grown(required: DataFrame, more: DataFrame) -> tuple[DataFrame, bool]:
@@ -58,17 +59,12 @@ def excess_visibility(graph: Graph, project: str | None = None, include_tests: b
         members = candidates.where("not is_type and not fixed").join(held, "node_id", "left")
         members = members.where("owner is null or (o_reported is null and (o_there is null or (o_pub and not o_iface)))").select(*candidates.columns)
         report = settled(candidates.where("is_type").unionByName(members), "report")
-        # What stays public: itself and all that hold it public and not reported.
-        left = nodes.where("pub").select("node_id").join(report.select("node_id"), "node_id", "left_anti")
-        left = settled(left, "public")
-        walk = settled(left.join(owner, left["node_id"] == owner["child"], "left").select("node_id", F.col("owner").alias("at")), "walk")
-        closed = walk.where("at is null").select("node_id")
-        while True:
-            going = walk.where("at is not null").join(left.select(F.col("node_id").alias("at")), "at", "left_semi")
-            walk = settled(going.join(owner, going["at"] == owner["child"], "left").select("node_id", F.col("owner").alias("at")), "walk")
-            if walk.isEmpty():
-                break
-            closed = closed.unionByName(walk.where("at is null").select("node_id"))
+        # What stays public: itself and all that hold it, at any depth, public and not reported. Walked from the outermost
+        # down, so owners in a circle are never reached.
+        left = settled(nodes.where("pub").select("node_id").join(report.select("node_id"), "node_id", "left_anti"), "public")
+        own = settled(left.join(owner, left["node_id"] == owner["child"], "left").select("node_id", "owner"), "owned")
+        inner = own.where("owner is not null").select(F.col("owner").alias("src"), F.col("node_id").alias("dst"), F.lit(0).cast("long").alias("edge_seq"))
+        closed = bfs(own.where("owner is null").select(F.col("node_id").alias("node")), inner, None).select(F.col("node").alias("node_id"))
         pinned = exposes.join(closed.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
         required, grew = _grown(required, pinned)
         if not grew:

@@ -283,6 +283,11 @@ def _(spark, sf_dir):
     return lua.external_calls(_calls(spark, sf_dir)).select("module", _joined("functions").alias("functions"))
 
 
+@query("lua_external_nodes", "SELECT DISTINCT 'ext:Sdk.run' || (l_partkey % 9) AS node_id, 'Method' AS type, 'Sdk.run' || (l_partkey % 9) AS name FROM lineitem WHERE l_linenumber = 4")
+def _(spark, sf_dir):
+    return lua.external_nodes(_calls(spark, sf_dir)).select("node_id", "type", "name")
+
+
 _USED = "SELECT DISTINCT concat('Sdk.run', p_partkey % 9) AS function FROM part"
 
 

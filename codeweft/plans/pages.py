@@ -182,7 +182,7 @@ UNION ALL SELECT concat('layout:', r_regionkey), 1000 + r_regionkey, 'PartialVie
     "page_symbol_links",
     """SELECT 'page:' || c_custkey AS src, 'pm:' || c_nationkey AS dst, 'PageServedBy' AS type FROM customer WHERE c_nationkey % 2 = 0
 UNION ALL SELECT 'pm:' || c_nationkey, 'page:' || c_custkey, 'ReturnsView' FROM customer WHERE c_nationkey % 2 = 0
-UNION ALL SELECT 'page:' || c_custkey, 'pm:' || c_nationkey, 'HasModel' FROM customer WHERE c_nationkey % 2 = 1
+UNION ALL SELECT 'page:' || c_custkey, CASE WHEN c_nationkey % 2 = 1 THEN 'pm:' ELSE 'again:' END || c_nationkey, 'HasModel' FROM customer
 UNION ALL SELECT 'page:' || c_custkey, 'layout:' || (c_custkey % 2), 'UsesLayout' FROM customer""",
 )
 def _(spark, sf_dir):
@@ -190,6 +190,17 @@ def _(spark, sf_dir):
     return declarations.page_links(pages, _graph(spark, sf_dir, _MODELS).nodes)
 
 
+@query("tag_helper_nodes", """SELECT 'th:page:' || c_custkey || ':9' AS node_id, 'TagHelperInvocation' AS type, 'input asp-for="P.Q[' || (c_custkey % 3) || ']"' AS name, 9 AS line_start, 'P.Q[' || (c_custkey % 3) || ']' AS property FROM customer""")
+def _(spark, sf_dir):
+    rows = client.tag_helpers(_pages(spark, sf_dir), _graph(spark, sf_dir, _MODELS).nodes)[0]
+    return rows.select("node_id", "type", "name", "line_start", F.get_json_object("props", "$.property").alias("property"))
+
+
+@query("tag_helper_edges", "SELECT 'page:' || c_custkey AS src, 'th:page:' || c_custkey || ':9' AS dst, 'RendersComponent' AS type FROM customer UNION ALL SELECT 'th:page:' || c_custkey || ':9', 'pm:' || c_nationkey, 'BindsTo' FROM customer")
+def _(spark, sf_dir):
+    return client.tag_helpers(_pages(spark, sf_dir), _graph(spark, sf_dir, _MODELS).nodes)[1]
+
+
 @query("compiled_links", """SELECT 'page:' || c_custkey AS src, 'type:g' || o_orderkey AS dst, 'References' AS type FROM customer JOIN orders ON o_custkey = c_custkey""")
 def _(spark, sf_dir):
     symbols = facts(spark, sf_dir, "SELECT concat('type:g', o_orderkey) AS id, concat('PAGES/', c_nationkey, '/p', c_custkey, '.CSHTML') AS generated_from FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -295,6 +306,16 @@ def _(spark, sf_dir):
     return _bindings(spark, sf_dir).select("name", "template", "rank")
 
 
+@query(
+    "bound_edges",
+    f"""WITH {_BOUND} SELECT 'shape:' || name AS src, c.id AS dst, 'BoundBy' AS type, (row_number() OVER (PARTITION BY name ORDER BY pos, c.id) - 1)::VARCHAR AS rank, 'razor' AS kind, CASE WHEN pos = 1 THEN regexp_replace(name, '__.*', '') ELSE replace(name, '__', '-') END AS matched FROM c WHERE pos IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    rows = binding.bound_edges(_bindings(spark, sf_dir), facts(spark, sf_dir, _SHAPE_FILES))
+    value = lambda k: F.get_json_object("props", f"$.{k}")
+    return rows.select("src", "dst", "type", value("rank").alias("rank"), value("bindingKind").alias("kind"), value("matchedAs").alias("matched"))
+
+
 @query("shape_bindings_seen", f"WITH {_BOUND} SELECT name, id AS template, row_number() OVER (PARTITION BY name ORDER BY pos, id)::INT - 1 AS rank FROM c JOIN f USING (id) WHERE pos IS NOT NULL AND project IN ('P0', 'P1')")
 def _(spark, sf_dir):
     shapes = binding.shape_nodes(_mentions(spark, sf_dir)).select("name", F.array(F.lit("P0")).alias("projects"))

@@ -174,6 +174,15 @@ def test_visibility_of_what_is_exposed(spark):
     assert ids(excess_visibility(g, "Lib", include_members=True)) == {"Unused", "InternalOnly", "Name"}
 
 
+def test_visibility_of_deep_and_circular_owners(spark):
+    """A member 70 types deep pins what it exposes; owners in a circle end the walk and pin nothing."""
+    deep = [cls(f"D{i:02}", project="Lib") for i in range(70)]
+    chain = [(f"D{i:02}", "Contains", f"D{i + 1:02}") for i in range(69)] + [("D69", "Contains", "Leaf"), ("Leaf", "References", "Shown"), ("Go", "Calls", "D69"), ("A", "Contains", "B"), ("B", "Contains", "A"), ("A", "References", "Hidden"), ("Go", "Calls", "Leaf")]
+    g = visibility_graph(spark, [*deep, method("Leaf", is_public=True), cls("Shown"), cls("A"), cls("B"), cls("Hidden")], chain)
+    assert {"Shown", "Leaf", "D00", "D69"} & ids(excess_visibility(g, "Lib")) == set()
+    assert {"A", "B", "Hidden"} <= ids(excess_visibility(g, "Lib"))
+
+
 def test_quotes(spark):
     from codeweft.operators.folds import quote_edges
 
