@@ -119,6 +119,14 @@ def lua_module(path: Column) -> Column:
     return F.replace(F.regexp_replace(bare, "/init$", ""), F.lit("/"), F.lit("."))
 
 
+def lua_modules_of(sources: DataFrame, rockspec: DataFrame) -> DataFrame:
+    """``sources`` (path) with ``module``: what the rockspec (module, path) says of the file, whatever its case, else by the path."""
+    key = lambda c: F.lower(normalised(F.col(c)))
+    named = rockspec.groupBy(key("path").alias("__at")).agg(F.min("module").alias("__named"))
+    rows = sources.withColumn("__at", key("path")).join(named, "__at", "left")
+    return rows.withColumn("module", F.coalesce("__named", lua_module(F.col("path")))).drop("__at", "__named")
+
+
 def last_segment(name: Column) -> Column:
     return F.regexp_extract(name, r"([^.:]+)$", 1)
 

@@ -80,6 +80,23 @@ def entry_kind(policy: Mapping[str, Any] = DEFAULT_POLICY) -> Column:
     return F.when(~is_test(F.col("attributes"), policy), rules)
 
 
+HTTP_VERBS = ("Get", "Post", "Put", "Delete", "Patch")
+
+
+def http_verb(attributes: Column) -> Column:
+    """The verb that a method's attributes name, the first of the list above; null without one."""
+    verb = F.lit(None).cast("string")
+    for v in reversed(HTTP_VERBS):
+        verb = F.when(carries(attributes, [f"Http{v}"]), v.upper()).otherwise(verb)
+    return verb
+
+
+def http_route(usages: Column) -> Column:
+    """``usages``: an array of (name, argument). The argument of the first attribute that gives a route."""
+    routed = F.filter(usages, lambda u: F.regexp_replace(u["name"], "Attribute$", "").isin("Route", "HttpGet", "HttpPost"))
+    return F.get(routed, F.lit(0))["argument"]
+
+
 def is_test(attributes: Column, policy: Mapping[str, Any] = DEFAULT_POLICY) -> Column:
     return carries(attributes, policy["test_attributes"])
 

@@ -231,5 +231,13 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.select("node_id", kind().alias("kind"), "name", "project", "file_path", "line_start")
 
 
+def detail(rows: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """All of a node that a front end shows. ``written``: node_id, written_since; shown where true, else null: never as proof of no change."""
+    since = rows.select("node_id").withColumn("file_written_since", F.lit(None).cast("boolean")) if written is None else written.select("node_id", F.when(F.col("written_since"), F.lit(True)).alias("file_written_since"))
+    shown = rows.join(since, "node_id", "left")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return shown.select("node_id", kind().alias("kind"), "name", "file_path", "line_start", "line_end", "file_written_since", "props", some("labels").alias("labels"))
+
+
 def first_declaration(rows: DataFrame, key: str = "full_name") -> DataFrame:
     return first_by(rows, [key], "node_seq", "node_id")

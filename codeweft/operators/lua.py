@@ -102,6 +102,23 @@ def version_floor(uses: DataFrame, catalogue: DataFrame) -> DataFrame:
     return rows.join(most, ["plugin", "v"]).groupBy("plugin").agg(F.min("version").alias("version"), F.sort_array(F.collect_set("function")).alias("drivers"))
 
 
+def minimum_versions(uses: DataFrame, catalogue: DataFrame, modules: DataFrame) -> DataFrame:
+    """``uses``: module, function; ``modules``: module, since. module, version: the highest that a used function needs; the module's own where the catalogue knows none of them. Modules that aren't catalogued are left out."""
+    rows = uses.join(catalogue.select("module", "function", F.col("since").alias("version"), version_array(F.col("since")).alias("v")), ["module", "function"], "left")
+    most = rows.groupBy("module").agg(F.max_by("version", "v").alias("called"))
+    return most.join(modules, "module").select("module", F.coalesce("called", "since").alias("version"))
+
+
+def floors_with_imports(imports: DataFrame, uses: DataFrame, catalogue: DataFrame, modules: DataFrame) -> DataFrame:
+    """``imports``: plugin, module; ``uses``: plugin, function. plugin, version, drivers: a higher need replaces, an equal one joins; what is only imported says so."""
+    by_import = imports.join(modules, "module").select("plugin", "since", F.concat("module", F.lit(" ("), "since", F.lit(", imported)")).alias("driver"), F.lit(0).alias("way"))
+    known = catalogue.select(F.concat("module", F.lit("."), "function").alias("function"), "since")
+    by_call = uses.join(known, "function").select("plugin", "since", F.concat("function", F.lit(" ("), "since", F.lit(")")).alias("driver"), F.lit(1).alias("way"))
+    rows = by_import.unionByName(by_call).distinct().withColumn("v", version_array(F.col("since"))).where("v is not null")
+    most = rows.groupBy("plugin").agg(F.max("v").alias("v"))
+    return rows.join(most, ["plugin", "v"]).groupBy("plugin").agg(F.min("since").alias("version"), F.array_sort(F.collect_list(F.struct("way", "driver"))).alias("d")).select("plugin", "version", F.col("d.driver").alias("drivers"))
+
+
 def reachable_modules(roots: DataFrame, references: DataFrame) -> DataFrame:
     """``roots``: module; ``references`` resolved. module of all that the roots require, directly or not."""
     steps = settled(references.where("outcome = 'inGraph'").select(F.col("module").alias("src"), F.col("target").alias("dst"), F.lit(0).cast("long").alias("edge_seq")).distinct(), "requires")

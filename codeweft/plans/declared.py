@@ -82,6 +82,21 @@ def _(spark, sf_dir):
     return rows.select("id", declarations.is_generated(F.col("path")).alias("generated"))
 
 
+_ROUTES = """
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'HttpPostAttribute' WHEN 1 THEN 'HttpDelete' WHEN 2 THEN 'Obsolete' WHEN 3 THEN 'HttpGetAttribute' END AS first, concat('/f/', o_custkey) AS first_route, CASE o_orderkey % 3 WHEN 0 THEN 'HttpGet' WHEN 1 THEN 'RouteAttribute' END AS second, concat('/s/', o_custkey) AS second_route FROM orders
+"""
+
+
+@query(
+    "http_routes",
+    f"""SELECT id, CASE WHEN first LIKE 'HttpGet%' OR second LIKE 'HttpGet%' THEN 'GET' WHEN first LIKE 'HttpPost%' THEN 'POST' WHEN first = 'HttpDelete' THEN 'DELETE' END AS verb,
+  CASE WHEN first LIKE 'HttpGet%' OR first LIKE 'HttpPost%' THEN first_route WHEN second IS NOT NULL THEN second_route END AS route FROM ({_ROUTES})""",
+)
+def _(spark, sf_dir):
+    usages = F.filter(F.array(F.struct(F.col("first").alias("name"), F.col("first_route").alias("argument")), F.struct(F.col("second").alias("name"), F.col("second_route").alias("argument"))), lambda u: u["name"].isNotNull())
+    return facts(spark, sf_dir, _ROUTES).select("id", declarations.http_verb(_some("first", "second")).alias("verb"), declarations.http_route(usages).alias("route"))
+
+
 # Nodes and structural edges
 
 #: A type a customer, declared in as many parts as the customer has orders.
@@ -225,6 +240,12 @@ def _(spark, sf_dir):
     return facts(spark, sf_dir, _MODULES).select("path", paths.lua_module(F.col("path")).alias("module"))
 
 
+@query("lua_named_by_rockspec", f"SELECT path, CASE WHEN module LIKE '%7' THEN 'named.' || module ELSE module END AS module FROM ({_MODULES})")
+def _(spark, sf_dir):
+    rockspec = facts(spark, sf_dir, f"SELECT concat('named.', module) AS module, upper(path) AS path FROM ({_MODULES}) WHERE module LIKE '%7'")
+    return paths.lua_modules_of(facts(spark, sf_dir, _MODULES).select("path"), rockspec)
+
+
 @query("lua_modules", f"SELECT 'mod:' || module AS node_id, 'luaModule' AS kind, module AS name, host FROM ({_MODULES})")
 def _(spark, sf_dir):
     return lua.module_nodes(facts(spark, sf_dir, _MODULES)).select("node_id", F.coalesce("foreign_type", "type").alias("kind"), "name", F.get_json_object("props", "$.host").alias("host"))
@@ -306,6 +327,25 @@ def _(spark, sf_dir):
     return lua.version_floor(facts(spark, sf_dir, _USES), _catalogue(spark, sf_dir)).select("plugin", "version", _joined("drivers").alias("drivers"))
 
 
+_MINIMUM = "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Sdk' ELSE concat('Other', p_partkey % 3) END AS module, concat('run', 10 * (p_partkey % 3) + p_partkey % 4) AS function FROM part"
+
+
+@query("minimum_versions", "SELECT * FROM (VALUES ('Sdk', '3.2'), ('Other1', '4.0')) t(module, version)")
+def _(spark, sf_dir):
+    return lua.minimum_versions(facts(spark, sf_dir, _MINIMUM), _catalogue(spark, sf_dir), spark.createDataFrame([("Sdk", "1.0"), ("Other1", "4.0")], "module string, since string"))
+
+
+@query(
+    "floors_with_imports",
+    """SELECT 'P' || s_suppkey AS plugin, CASE WHEN s_suppkey % 3 = 0 THEN '3.5' ELSE '3.2' END AS version, CASE s_suppkey % 3 WHEN 0 THEN 'Sdk.run5 (3.5)' WHEN 1 THEN 'Sdk (3.2, imported),Sdk.run2 (3.2)' ELSE 'Sdk (3.2, imported)' END AS drivers FROM supplier""",
+)
+def _(spark, sf_dir):
+    imports = facts(spark, sf_dir, "SELECT concat('P', s_suppkey) AS plugin, CASE WHEN s_suppkey % 2 = 0 THEN 'Sdk' ELSE 'Sdk' END AS module FROM supplier")
+    uses = facts(spark, sf_dir, "SELECT concat('P', s_suppkey) AS plugin, CASE s_suppkey % 3 WHEN 0 THEN 'Sdk.run5' WHEN 1 THEN 'Sdk.run2' ELSE 'Sdk.run0' END AS function FROM supplier")
+    rows = lua.floors_with_imports(imports, uses, _catalogue(spark, sf_dir), spark.createDataFrame([("Sdk", "3.2")], "module string, since string"))
+    return rows.select("plugin", "version", _joined("drivers").alias("drivers"))
+
+
 _REACH = """r(m) AS (SELECT 0::BIGINT UNION SELECT l_partkey FROM r JOIN lineitem ON l_suppkey = m WHERE l_linenumber % 4 < 2 AND m < 5)"""
 
 
@@ -507,6 +547,12 @@ def _(spark, sf_dir):
     return lookup.summary(_named(spark, sf_dir).nodes).drop("line_start")
 
 
+@query("node_details", f"{_NAMED} SELECT node_id, coalesce(foreign_type, type) AS kind, name, file_path, CASE WHEN node_seq % 2 = 0 THEN true END AS file_written_since, label AS labels FROM nodes")
+def _(spark, sf_dir):
+    rows = lookup.detail(_named(spark, sf_dir).nodes, facts(spark, sf_dir, "SELECT concat('a', c_custkey) AS node_id, c_custkey % 2 = 0 AS written_since FROM customer"))
+    return rows.select("node_id", "kind", "name", "file_path", "file_written_since", _joined("labels").alias("labels"))
+
+
 @query("first_declarations", f"{_NAMED} SELECT file_path, arg_min(node_id, (node_seq, node_id)) AS node_id FROM nodes GROUP BY file_path")
 def _(spark, sf_dir):
     return lookup.first_declaration(_named(spark, sf_dir).nodes, "file_path").select("file_path", "node_id")

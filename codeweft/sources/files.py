@@ -42,8 +42,9 @@ def skip_summary(skipped: DataFrame) -> DataFrame:
 
 
 def lua_sources(spark: SparkSession, folder: str, include_vendor: bool = False) -> DataFrame:
+    """In the order of their paths, byte by byte."""
     rows = texts(spark, folder, "*.lua").withColumn("vendor_reason", vendor_reason(F.col("path")))
-    return rows if include_vendor else rows.where("vendor_reason is null")
+    return (rows if include_vendor else rows.where("vendor_reason is null")).orderBy("path")
 
 
 def rockspec_modules(spec: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='codeweft-')}"
+        own = tempfile.mkdtemp(prefix="codeweft-")
+        atexit.register(shutil.rmtree, own, True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -82,5 +86,4 @@ class Rounds:
             old, self.made = self.paths, self.made + 1
             self.paths = [f"{self.base}/{self.made:05}"]
             self.spark.read.schema(self.schema).parquet(*old).write.parquet(self.paths[0])
-            self.stale = old
         return self.spark.read.schema(self.schema).parquet(*self.paths)

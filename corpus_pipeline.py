@@ -21,27 +21,33 @@ MAX_REPEAT = 2.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null or without a letter. A missing ``lang`` is filled in by the prediction."""
+    """Drops documents in no language (null, or without a letter) and writes the predicted one to ``lang``.
+
+    Where the model knows nothing of a text (score 0) a given ``lang`` stays. Repeated rows stay, as do columns with names
+    of our own (``lang_pred``, ``score``).
+    """
     model = train(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     own = docs.columns
     found = identify(docs, model, own, names=("__lang", "__score"))
     if not model.languages:  # nothing to learn from: what has letters stays
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    return found.where(F.col("__lang") != UNKNOWN).select(*[F.coalesce("lang", "__lang").alias("lang") if c == "lang" else F.col(c) for c in own])
+    lang = F.when(F.col("__score") > 0, F.col("__lang")).otherwise(F.coalesce("lang", "__lang")).alias("lang")
+    return found.where(F.col("__lang") != UNKNOWN).select(*[lang if c == "lang" else F.col(c) for c in own])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8."""
+    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8. Of rows that repeat an id
+    one stays; rows without an id all stay."""
     return without_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, up to MAX_REPEAT times, towards even weights; nothing is dropped."""
+    """Small sources are repeated, up to MAX_REPEAT times, towards even weights; nothing is dropped. Rows come in the order of the mix."""
     return mix_sources(docs, max_repeat=MAX_REPEAT, columns=docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, ids."""
+    """doc_id, source, lang, n_tokens, ids; a row a row."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "source", "lang"))
