@@ -57,9 +57,12 @@ class Ledger:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.path}/batches"))
 
-    def _committed(self) -> list[str]:
+    def _folders(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/batches")))
+
+    def _committed(self, names: list[str] | None = None) -> list[str]:
         """Folders that count: all but those that a compacted one covers."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/batches")))
+        names = self._folders() if names is None else names
         compact = [n for n in names if n.startswith("compact=")]
         covered = set()
         if compact:
@@ -119,16 +122,17 @@ class Ledger:
 
     def compact(self) -> None:
         """One table of totals in place of the committed batches."""
-        folders = self._committed()
+        present = self._folders()  # what an earlier compaction covered but could not delete stays covered
+        folders = self._committed(present)
         if len(folders) < 2:
             return
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         self._summed(folders).coalesce(1).write.parquet(f"{staged}/sums")
         self._digests(folders).coalesce(1).write.parquet(f"{staged}/digest")
-        self.spark.createDataFrame([(n,) for n in folders], "folder string").coalesce(1).write.parquet(f"{staged}/covers")
+        self.spark.createDataFrame([(n,) for n in present], "folder string").coalesce(1).write.parquet(f"{staged}/covers")
         if not self._fs.rename(self._path(staged), self._path(f"{self.path}/batches/compact={uuid.uuid4().hex}")):
             raise OSError(f"could not show the compacted folder of {self.path}")
-        for name in folders:
+        for name in present:
             self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
 
 
