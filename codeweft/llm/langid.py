@@ -43,8 +43,9 @@ WORD_BITS = 64
 BITS_PER_GRAM = 12
 UNKNOWN = "und"
 DOCS_AT_ONCE = 128
-#: Bytes that are hashed at once.
-PIECE = 1 << 18
+#: Bytes that are hashed at once, and hashes that training gathers before it counts them.
+PIECE = 1 << 16
+COUNTED_HASHES = 1 << 19
 
 _KEPT = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _SPACES = re.compile(b"  +")
@@ -184,18 +185,26 @@ def train(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     need = {k: max(1, min(MOST_COUNT, int(min(r["count"], sample_per_lang) // DOCS_PER_COUNT))) for k, r in enumerate(known)}
 
     def count(batches):
+        found: dict[int, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
-            found: dict[int, list[np.ndarray]] = {}
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                letters = letters_of(text)
+            for k, text in zip(batch.column(0), batch.column(1), strict=True):
+                letters = letters_of(text.as_py())
                 for a in range(0, len(letters), PIECE):
                     data = np.frombuffer(letters[a : a + PIECE + max(SIZES) - 1], dtype=np.uint8)
                     hashes = gram_hashes(data)
                     own = np.concatenate([hashes[i, : min(PIECE, max(0, len(data) - n + 1))] for i, n in enumerate(SIZES)])
-                    found.setdefault(k, []).append(own)
-            for k, parts in found.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
+                    found.setdefault(k.as_py(), []).append(own)
+                    held += len(own)
+                    if held >= COUNTED_HASHES:
+                        yield from counted(found)
+                        found, held = {}, 0
+        yield from counted(found)
+
+    def counted(found):
+        for k, parts in found.items():
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
 
     grams = labelled.where(draw).select("k", "text").mapInArrow(lean(count), "k int, h long, n long")
     least = spark.createDataFrame(list(need.items()), "k int, least int")
@@ -216,8 +225,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     def run(batches):
         own = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(i, DOCS_AT_ONCE)
                 found = own.predict(part.column(at).to_pylist())
                 more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *more], names=[*keep, *names])
