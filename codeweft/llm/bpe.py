@@ -25,7 +25,7 @@ import heapq
 import json
 import re
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -42,6 +42,9 @@ END = "</w>"
 #: Entries of a worker's memo of words; it is emptied when full.
 MEMO_WORDS = 200_000
 DOCS_AT_ONCE = 200
+#: Words of at most so many bytes are merged side by side, so many at once.
+MOST_SIDE, WORDS_AT_ONCE = 24, 4096
+NO_RANK = np.int32(2**31 - 1)
 #: Words that a task counts before it hands them on.
 COUNTED_WORDS = 200_000
 
@@ -137,6 +140,28 @@ class Vocabulary:
                 heapq.heappush(heap, (r, before[i], s[before[i]], s[i]))
         return [self.ids[x] for i, x in enumerate(s) if not gone[i]]
 
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as ``merge`` has them, little-endian unsigned 32-bit; short words take their merges side by side."""
+        found: list[bytes] = [b""] * len(words)
+        data = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        side = sizes <= MOST_SIDE
+        if self.special:
+            side &= ~np.fromiter(map(self.special.__contains__, words), dtype=bool, count=len(words))
+        for i in np.flatnonzero(~side).tolist():
+            found[i] = np.array(self.merge(words[i]), dtype="<u4").tobytes()
+        short = np.flatnonzero(side)
+        short = short[np.argsort(sizes[short], kind="stable")]
+        for k in range(0, len(short), WORDS_AT_ONCE):
+            some = short[k : k + WORDS_AT_ONCE]
+            for i, ids in zip(some.tolist(), self.merges.ids([data[i] for i in some.tolist()], sizes[some]), strict=True):
+                found[i] = ids
+        return found
+
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.alphabet, self.ranks, self.ids)
+
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8")
 
@@ -145,6 +170,67 @@ class Vocabulary:
         return b" ".join(map(self._shown.__getitem__, ids))
 
 
+class Merges:
+    """A vocabulary's merges as arrays: symbols are numbers, first those of bytes, then those of bytes that end a word."""
+
+    def __init__(self, alphabet: list[str], ranks: dict[tuple[str, str], int], ids: dict[str, int]) -> None:
+        number = {c: k for k, c in enumerate([*alphabet, *(c + END for c in alphabet)])}
+        left, right, made = (np.array([number.setdefault(x, len(number)) for x in side], dtype=np.int64) for side in ([a for a, _ in ranks], [b for _, b in ranks], [a + b for a, b in ranks]))
+        #: What stands after a word's end; no pair holds it.
+        self.pad = len(number)
+        self.id_of = np.array([ids.get(x, -1) for x in [*number, ""]], dtype=np.int64)
+        rank = np.fromiter(ranks.values(), dtype=np.int64, count=len(ranks))
+        order = np.argsort(left * (self.pad + 1) + right)
+        self.keys, self.rank = (left * (self.pad + 1) + right)[order], rank[order].astype(np.int32)
+        self.made = np.zeros(int(rank.max(initial=-1)) + 1, dtype=np.int32)
+        self.made[rank] = made
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of symbols; NO_RANK for those that don't merge."""
+        key = a.astype(np.int64) * (self.pad + 1) + b
+        if not len(self.keys):
+            return np.full(key.shape, NO_RANK, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NO_RANK)
+
+    def ids(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        """Of words of at least a byte. In each round every word takes its merge of the lowest rank, the leftmost of equal ones."""
+        wide = int(sizes.max(initial=1))
+        rows = np.arange(len(words))
+        s = np.full((len(words), wide), self.pad, dtype=np.int32)
+        s[np.arange(wide) < sizes[:, None]] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        s[rows, sizes - 1] += 256
+        found: list[bytes] = [b""] * len(words)
+        rank = self.ranks(s[:, :-1], s[:, 1:])
+        while True:
+            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(s), dtype=np.int64)
+            least = rank[np.arange(len(s)), at] if rank.shape[1] else np.full(len(s), NO_RANK)
+            over = least == NO_RANK
+            if over.any():
+                self._put(s[over], rows[over], found)
+                s, rank, rows, at, least = (x[~over] for x in (s, rank, rows, at, least))
+            if not len(rows):
+                return found
+            here = np.arange(len(rows))
+            after = np.arange(s.shape[1] - 1)
+            s = np.take_along_axis(s, after + (after > at[:, None]), axis=1)
+            rank = np.take_along_axis(rank, after[:-1] + (after[:-1] > at[:, None]), axis=1)
+            s[here, at] = made = self.made[least]
+            some = np.flatnonzero(at > 0)
+            rank[some, at[some] - 1] = self.ranks(s[some, at[some] - 1], made[some])
+            some = np.flatnonzero(at < rank.shape[1])
+            rank[some, at[some]] = self.ranks(made[some], s[some, at[some] + 1])
+
+    def _put(self, s: np.ndarray, rows: np.ndarray, found: list[bytes]) -> None:
+        there = s != self.pad
+        ids = self.id_of[s[there]]
+        if (ids < 0).any():
+            raise KeyError("the vocabulary lacks a symbol that its merges make, or a byte")
+        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(there.sum(axis=1)) * 4
+        for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            found[i] = flat[a:b]
+
+
 def compile_lexicon(entries: dict[bytes, list[int]]) -> np.ndarray:
     """The automaton as one array of int64: sizes, then transitions (state * 256 + byte, sorted),
     their targets and numbers, finality of states, and the ids of the words in order."""
@@ -206,8 +292,12 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word, None for a word that the lexicon lacks."""
+        return [self.ids[self.starts[p] : self.starts[p + 1]].tolist() if p >= 0 else None for p in self.places(words).tolist()]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for one that the lexicon lacks."""
         if not words or not len(self.keys):
-            return [None] * len(words)
+            return np.full(len(words), -1, dtype=np.int64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.cumsum(sizes) - sizes
         letters = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -231,11 +321,7 @@ class Lexicon:
             state[alive] = self.targets[at]
             number[alive] += self.numbers[at]
             depth += 1
-        found: list[list[int] | None] = [None] * len(words)
-        for i in np.flatnonzero(place >= 0).tolist():
-            p = place[i]
-            found[i] = self.ids[self.starts[p] : self.starts[p + 1]].tolist()
-        return found
+        return place
 
 
 @lru_cache(maxsize=2)
@@ -313,6 +399,8 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon) -> None:
         self.vocab, self.lexicon = vocab, lexicon
         self.memo: dict[str, bytes] = {}
+        #: The lexicon's ids, as they are put together.
+        self.known = lexicon.ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
@@ -321,8 +409,13 @@ class Encoder:
             self.memo.clear()
         memo = self.memo
         new = list(set(filterfalse(memo.__contains__, chain.from_iterable(parts))))
-        for w, ids in zip(new, self.lexicon.find([w.encode("utf-8") for w in new]), strict=True):
-            memo[w] = np.array(self.vocab.merge(w) if ids is None else ids, dtype="<u4").tobytes()
+        place = self.lexicon.places([w.encode("utf-8") for w in new])
+        there = np.flatnonzero(place >= 0)
+        at = place[there]
+        for i, a, b in zip(there.tolist(), (self.lexicon.starts[at] * 4).tolist(), (self.lexicon.starts[at + 1] * 4).tolist(), strict=True):
+            memo[new[i]] = self.known[a:b]
+        rest = [new[i] for i in np.flatnonzero(place < 0).tolist()]
+        memo.update(zip(rest, self.vocab.merge_many(rest), strict=True))
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
 
 

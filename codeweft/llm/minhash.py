@@ -16,7 +16,8 @@
    show is lost, and no group is spread into all its pairs.
 5. Comparing: Jaccard similarity estimated from the registers, corrected for registers that agree by
    chance, must be within six standard errors of the threshold (those of as many registers as the
-   larger set has shingles, if they are fewer); the exact test is then made on full sets, in whole numbers.
+   larger set has shingles, if they are fewer); the exact test is then made on full sets, in whole numbers,
+   by cells of documents, so that a set isn't sent with every pair.
 
 Defined results: null texts, empty ones and those without words have an empty set, n_shingles 0 and
 link with nothing. Texts with fewer words than ``width`` have one shingle, all their words. Rows
@@ -26,9 +27,11 @@ component_id is null and kept is true. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +46,10 @@ MANTISSA = 10
 DONORS = 24
 #: Ids that a broadcast may hold (some 16 MB).
 BROADCAST_IDS = 500_000
-BLOCK = 512
-MEMO_WORDS = 100_000
-DOCS_AT_ONCE = 500
+BLOCK, BLOCK_ITEMS = 512, 1 << 17
+#: Groups of at most so many rows are compared together, so many pairs at once.
+SMALL_GROUP, PAIRS_AT_ONCE = 64, 4096
+DOCS_AT_ONCE = 64
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -54,12 +58,11 @@ _WIDTH = (1 << 64) // REGISTERS + 1
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) * _U(_WIDTH)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+class WordHashes:
+    """64-bit hashes of words. There is no memo: a look-up takes longer than the hash."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,17 +71,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_set(text: str | None, width: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z alone, and ASCII white space
-    h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    if not len(h):
-        return h
-    n = max(1, len(h) - width + 1)
-    code = np.full(n, min(len(h), width), dtype=np.uint64)
-    for k in range(min(width, len(h))):
+def _shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Of hashes of words in order: one of each run of ``width``."""
+    n = len(h) - width + 1
+    code = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
         code = _mixed(code * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(code)
+    return code
+
+
+def shingle_sets(texts: list[str | None], width: int, hashes: WordHashes) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; those of all texts are made at once."""
+    words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # bytes: A-Z alone, and ASCII white space
+    h = hashes.of(list(chain.from_iterable(words)))
+    code = _shingles(h, width) if len(h) >= width else h[:0]
+    out, at = [], 0
+    for w in words:
+        n = len(w)
+        if n >= width:
+            out.append(np.unique(code[at : at + n - width + 1]))
+        else:
+            out.append(_shingles(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
+
+
+def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text."""
+    return shingle_sets([text], width, hashes)[0]
 
 
 def registers_of(low: np.ndarray) -> np.ndarray:
@@ -128,13 +148,12 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     """doc_id, n, h1, h2 (hashes of the set), registers (null for an empty set)."""
 
     def run(batches):
-        memo = WordHashes()
+        hashes = WordHashes()
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part, out = batch.slice(k, DOCS_AT_ONCE), []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingle_set(text, width, memo)
+                for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), width, hashes), strict=True):
                     n = len(s)
                     h1 = int(s.sum().view(np.int64)) if n else 0
                     h2 = int(_mixed(s * _U(0xD6E8FEB86659FD93) + _U(1)).sum().view(np.int64)) if n else 0
@@ -169,27 +188,116 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return both.mapInPandas(lean(run), "a long, b long").distinct()
 
 
+def _group_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where groups of equal keys begin; at least one row. The keys are the columns band (if there is one), i and j."""
+    keys = [rows.column(k).to_numpy(zero_copy_only=False) for k in ("band", "i", "j") if k in rows.schema.names]
+    return np.append(0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1)
+
+
+def _whole_groups(batches):
+    """The same rows, sorted by group, in batches that end where a group does."""
+    held: list[pa.RecordBatch] = []  # the last group so far, which the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = int(_group_starts(batch)[-1])
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif held and len(_group_starts(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))) > 1:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets meet 100 * intersection >= percent * union."""
+    """The pairs whose full sets meet 100 * intersection >= percent * union.
+
+    Pairs grow with the square of a family of similar texts, so sets don't go with each pair: documents are put into
+    cells, those with the same smallest partner together, and a set goes once to each two cells between which it has pairs.
+    """
     pairs = written(pairs, "pairs")
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "pair-ids")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("need"), F.col("b").alias("other")), F.struct(F.col("b").alias("need"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    need = written(ends.groupBy("need").agg(F.least(F.min("other"), F.col("need")).alias("near")), "pair-ids")
     few = need.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(need) if few else need, F.col("doc_id") == F.col("need"), "left_semi")
+    ids = need.select("need")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("need"), "left_semi")
 
     def run(batches):
-        memo = WordHashes()
+        hashes = WordHashes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                sets = [shingle_set(t, width, memo).view(np.int64) for t in part.column(1).to_pylist()]
+            for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(k, DOCS_AT_ONCE)
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), width, hashes)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
 
     sets = written(texts.mapInArrow(lean(run), "doc_id long, items array<long>"), "pair-sets")
-    own = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
+    placed = written(_placed(pairs, need, sets), "placed-pairs")
+    there = placed.select("i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    rows = there.select("i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "items").unionByName(placed.select("i", "j", "a", "b", F.lit(None).cast("array<long>").alias("items")))
+
+    def check(batches):
+        for part in _whole_groups(batches):
+            yield _linked(part, percent)
+
+    return written(rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(lean(check), "a long, b long"), "links")
+
+
+def _placed(pairs: DataFrame, need: DataFrame, sets: DataFrame) -> DataFrame:
+    """i, j, a, b: the pairs with the cells of their documents, the lesser first. A cell has some BLOCK documents and BLOCK_ITEMS hashes at most."""
+    nodes = need.join(sets.groupBy(F.col("doc_id").alias("need")).agg(F.sum(F.size("items")).alias("n")), "need")
+    chunks = nodes.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_ITEMS))).alias("chunks"))
+    cells = written(nodes.join(chunks, "near").select("need", F.xxhash64("near", F.pmod(F.xxhash64("need"), F.col("chunks"))).alias("cell")), "pair-cells")
+    own = lambda x: cells.select(F.col("need").alias(x), F.col("cell").alias(f"cell_{x}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
-    common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-    found = both.select("a", "b", common.alias("c"), (F.size("items_a") + F.size("items_b")).cast("long").alias("s"))
-    return written(found.where((F.col("s") > 0) & (F.col("c") * 100 >= (F.col("s") - F.col("c")) * percent)).select("a", "b"), "links")
+    return both.select(F.least("cell_a", "cell_b").alias("i"), F.greatest("cell_a", "cell_b").alias("j"), "a", "b")
+
+
+def _linked(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """a, b: the pairs of whole groups (rows with b) whose sets (rows with items) are similar enough."""
+    starts, found = _group_starts(rows), []
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+        group = rows.slice(start, end - start)
+        is_pair = group.column(3).is_valid()
+        sets, pairs = group.filter(pc.invert(is_pair)), group.filter(is_pair)
+        a, b = pairs.column(2).to_numpy(), pairs.column(3).to_numpy()
+        items = sets.column(4).flatten().to_numpy()
+        sizes = sets.column(4).value_lengths().to_numpy()
+        order = np.argsort(sets.column(2).to_numpy(), kind="stable")
+        ids = sets.column(2).to_numpy()[order]
+        p, x = _rows_of(a, ids)
+        q, y = _rows_of(b[p], ids)
+        p, x, y = p[q], order[x[q]], order[y]
+        common = _common(items, sizes, x, y)
+        total = sizes[x].astype(np.int64) + sizes[y]
+        good = np.unique(p[(total > 0) & (common * 100 >= (total - common) * percent)])
+        found.append(np.stack([a[good], b[good]], axis=1))
+    links = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+
+def _rows_of(wanted: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each id all places among sorted ids that may repeat: which of ``wanted``, and the place."""
+    first = np.searchsorted(ids, wanted, "left")
+    n = np.searchsorted(ids, wanted, "right") - first
+    which = np.repeat(np.arange(len(wanted)), n)
+    return which, np.arange(len(which)) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _common(items: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many items sets x and y share, pair by pair, from bits of the items that several sets have. Sets stand one after the other in ``items``."""
+    _, code, n = np.unique(items, return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    owner, kept = np.repeat(np.arange(len(sizes)), sizes), shared[code]
+    owner, bit = owner[kept], number[code[kept]]
+    words = int(shared.sum()) // 64 + 1
+    bits = np.zeros((len(sizes), words), dtype=np.uint64)
+    np.bitwise_or.at(bits, (owner, bit // 64), _U(1) << (bit % 64).astype(np.uint64))
+    step = max(1, (1 << 18) // words)
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), step))])
 
 
 def _cross_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -199,25 +307,47 @@ def _cross_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataF
     rows = members.join(split.select("band", chunks.alias("chunks")), "band").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
     rows = rows.withColumn("to", F.explode(to)).select("band", "to.i", "to.j", "chunk", "doc_id", "label")
-    rows = rows.join(reps.select("doc_id", "n", "registers"), "doc_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
-        ids, label, n = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy()
-        chunk, apart = pdf["chunk"].to_numpy(), pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        regs = _registers(pdf["registers"])
-        for k in range(len(pdf)):
-            other = (ids > ids[k]) & (label != label[k]) & (np.minimum(n, n[k]) >= np.maximum(n, n[k]) * threshold - 1e-9)
-            if apart:
-                other &= chunk != chunk[k]
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[estimated_jaccard(regs[at], regs[k][None, :], n[at], n[k : k + 1]) >= least_estimate(threshold, n[at], n[k])]
-                found.append(np.stack([np.full(len(at), ids[k]), ids[at]], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    rows = rows.join(reps.select("doc_id", "n", "registers"), "doc_id").select("band", "i", "j", "chunk", "doc_id", "label", "n", "registers")
+
+    def run(batches):
+        for part in _whole_groups(batches):
+            yield _close_pairs(part, threshold)
+
+    # Most groups are a few rows: many go through Python at once.
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lean(run), "a long, b long").distinct()
+
+
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray):
+    """All pairs of rows within groups, some at a time: of small groups those of one size together, of large ones a row with those after it."""
+    for s in np.unique(sizes).tolist():
+        own = starts[sizes == s]
+        if s <= SMALL_GROUP:
+            i, j = np.triu_indices(s, 1)
+            step = max(1, PAIRS_AT_ONCE // max(1, len(i)))
+            for k in range(0, len(own), step):
+                base = own[k : k + step, None]
+                yield (base + i).ravel(), (base + j).ravel()
+        else:
+            for start in own.tolist():
+                for k in range(start, start + s - 1):
+                    yield np.full(start + s - 1 - k, k), np.arange(k + 1, start + s)
+
+
+def _close_pairs(rows: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """a, b: pairs of whole groups whose labels differ and whose estimates pass."""
+    i, j, chunk, ids, label, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+    regs, apart = _registers(rows.column(7).to_pylist()), i != j
+    starts = _group_starts(rows)
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for a, b in _pairs_within(starts, np.diff(np.append(starts, rows.num_rows))):
+        own = (ids[a] != ids[b]) & (label[a] != label[b]) & ~(apart[a] & (chunk[a] == chunk[b]))
+        own &= np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * threshold - 1e-9
+        a, b = a[own], b[own]
+        if len(a):
+            close = estimated_jaccard(regs[a], regs[b], n[a], n[b]) >= least_estimate(threshold, n[a], n[b])
+            found.append(np.sort(np.stack([ids[a[close]], ids[b[close]]], axis=1), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", one_task: int = 2_000_000) -> DataFrame:
