@@ -13,6 +13,7 @@ from .model import Graph
 from .operators import binding, client, declarations, folds, lua
 from .operators.coverage import coverage
 from .operators.escapes import escape_edges
+from .store import settled
 
 #: What each pass reads; a table that isn't given leaves out what is made of it.
 SOLUTION_FACTS = "projects project_references symbols methods members parameters attributes registrations injections references extensions implements call_sites accesses throws quotes callbacks pages assets view_calls actions shape_mentions placements".split()
@@ -77,7 +78,7 @@ def build_solution(spark: SparkSession, facts: Mapping[str, DataFrame], policy:
     if has("callbacks") is not None:
         graph = Graph.of(folds.callback_stamps(graph.nodes, facts["callbacks"]), graph.edges)
     if has("pages") is not None:
-        pages = client.page_facts(facts["pages"])
+        pages = settled(client.page_facts(facts["pages"]), "pages")
         nodes(client.page_nodes(pages))
         partials, stubs = client.partial_edges(pages, facts["pages"].select("id", "path"))
         nodes(stubs)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VENDOR_DIRS = ("lib", "lib_npm", "node_modules", "bower_components", "vendor")
@@ -72,17 +73,32 @@ def resolve_views(wanted: DataFrame, templates: DataFrame, keys: Sequence[str])
 
     Tiers: the controller's folder, near paths, shared roots anywhere, the file name anywhere. An
     explicit path is only ever itself. Each tier is an equi-join of its own; within one, paths go by name.
+    Rows of one name, folder of the source and controller have the same candidates, which are sought once.
     """
+    folder = F.regexp_replace(normalised(F.col("source")), "[^/]*$", "")
+    wanted = wanted.select(*keys, "name", folder.alias("source"), "controller")
+    asked = ["name", "source", "controller"]
+    given = wanted.select(*keys, *[F.col(c).alias(f"__{c}") for c in asked])
+    found = _candidates(wanted.select(*asked).distinct(), templates).select(*[F.col(c).alias(f"__its_{c}") for c in asked], "path", "tier")
+    same = reduce(Column.__and__, [F.col(f"__{c}").eqNullSafe(F.col(f"__its_{c}")) for c in asked])
+    best = given.join(found, same).groupBy(*keys, "path").agg(F.min("tier").alias("tier"))
+    order = Window.partitionBy(*keys).orderBy("tier", F.lower("path"), "path")
+    return best.select(*keys, "path", (F.row_number().over(order) - 1).alias("rank"))
+
+
+def _candidates(wanted: DataFrame, templates: DataFrame) -> DataFrame:
+    """name, source, controller, path, tier."""
+    keys = ("name", "source", "controller")
     t = templates.select(normalised(F.col("path")).alias("path")).distinct().select("path", F.lower("path").alias("at"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("file"))
-    w = wanted.select(*keys, "name", "source", "controller", is_explicit(F.col("name")).alias("explicit"))
+    w = wanted.withColumn("explicit", is_explicit(F.col("name")))
     plain, exact = w.where("not explicit"), w.where("explicit")
     goal = F.lower(F.regexp_replace(normalised(F.col("name")), "^[~/]+", ""))
     found = [exact.withColumn("at", goal).join(t.drop("file"), "at").select(*keys, F.lit(0).alias("tier"), "path")]
     tail = exact.withColumn("goal", goal).withColumn("file", F.element_at(F.split("goal", "/"), -1)).join(t, "file")
     found.append(tail.where(F.endswith(F.col("at"), F.concat(F.lit("/"), F.col("goal")))).select(*keys, F.lit(0).alias("tier"), "path"))
     file = F.lower(F.concat(stem(F.col("name")), F.lit(".cshtml")))
-    near = plain.withColumn("source", F.coalesce("source", F.when(F.col("controller").isNotNull(), F.concat(F.lit("Views/"), "controller", F.lit("/_.cshtml")))))
-    near = near.select(*keys, F.posexplode(view_paths(F.col("name"), F.col("source"))).alias("pos", "try")).withColumn("at", F.lower(F.concat("try", F.lit(".cshtml"))))
+    beside = F.coalesce("source", F.when(F.col("controller").isNotNull(), F.concat(F.lit("Views/"), "controller", F.lit("/_.cshtml"))))
+    near = plain.select(*keys, F.posexplode(view_paths(F.col("name"), beside)).alias("pos", "try")).withColumn("at", F.lower(F.concat("try", F.lit(".cshtml"))))
     found.append(near.join(t.drop("file"), "at").select(*keys, (F.col("pos") + 10).alias("tier"), "path"))
     last = plain.withColumn("want", file).withColumn("file", F.element_at(F.split("want", "/"), -1)).join(t, "file")
     ends = lambda s: (F.col("at") == F.concat(F.lit(s), F.col("want"))) | F.endswith(F.col("at"), F.concat(F.lit(f"/{s}"), F.col("want")))
@@ -94,11 +110,7 @@ def resolve_views(wanted: DataFrame, templates: DataFrame, keys: Sequence[str])
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    best = rows.groupBy(*keys, "path").agg(F.min("tier").alias("tier"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*keys).orderBy("tier", F.lower("path"), "path")
-    return best.select(*keys, "path", (F.row_number().over(order) - 1).alias("rank"))
+    return rows.groupBy(*keys, "path").agg(F.min("tier").alias("tier"))
 
 
 def shape_candidates(name: Column) -> Column:

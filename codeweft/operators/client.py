@@ -89,7 +89,7 @@ def composed_scopes(facts: DataFrame, includes: DataFrame) -> DataFrame:
     steps = settled(includes.select("src", "dst", F.lit(0).cast("long").alias("edge_seq")).distinct(), "includes")
     reach = bfs(facts.select(F.col("id").alias("page"), F.col("id").alias("node")), steps, None, keys=("page",))
     rows = reach.select("page", "node").join(facts.select(F.col("id").alias("node"), *NAMES, "dynamic_ids"), "node")
-    return _unions(rows, "page", NAMES).join(rows.groupBy("page").agg(F.sum("dynamic_ids").alias("dynamic_ids")), "page")
+    return settled(_unions(rows, "page", NAMES).join(rows.groupBy("page").agg(F.sum("dynamic_ids").alias("dynamic_ids")), "page"), "scopes")
 
 
 NAMES = ("data_keys", "bound_keys", "ids")

@@ -11,18 +11,24 @@ from ..functions import paths
 from ..model import Graph
 from ..operators import binding, client, declarations
 from ..sources import files
-from .sources import PAGES, SCRIPTS, facts
+from ..store import settled
+from .sources import PAGES, SCRIPTS, facts, texts
 from .suite import query
 
 _joined = partial(F.array_join, delimiter=",")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.page_facts(facts(spark, sf_dir, PAGES))
+    return client.page_facts(texts(spark, sf_dir, PAGES))
+
+
+def _scanned(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Facts that several steps read: every page is scanned once."""
+    return settled(_pages(spark, sf_dir).select("id", "path", *columns), "pages")
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.script_facts(facts(spark, sf_dir, SCRIPTS))
+    return client.script_facts(texts(spark, sf_dir, SCRIPTS))
 
 
 def _graph(spark: SparkSession, sf_dir: str, nodes: str) -> Graph:
@@ -89,13 +95,15 @@ def _(spark, sf_dir):
     """SELECT 'page:' || c_custkey AS src, 'page:_Part' || (c_custkey % 9) AS dst, 10 AS line, 'true' AS tag FROM customer UNION ALL SELECT 'page:' || c_custkey, 'partial:_Other', 10, 'false' FROM customer""",
 )
 def _(spark, sf_dir):
-    edges, _ = client.partial_edges(_pages(spark, sf_dir), facts(spark, sf_dir, PAGES).select("id", "path"))
+    pages = _scanned(spark, sf_dir, "partials")
+    edges, _ = client.partial_edges(pages, pages.select("id", "path"))
     return edges.select("src", "dst", "line", F.get_json_object("props", "$.isTagHelper").alias("tag"))
 
 
 @query("partial_stubs", "SELECT 'partial:_Other' AS node_id, 'PartialView' AS type, '_Other' AS name FROM region LIMIT 1")
 def _(spark, sf_dir):
-    return client.partial_edges(_pages(spark, sf_dir), facts(spark, sf_dir, PAGES).select("id", "path"))[1]
+    pages = _scanned(spark, sf_dir, "partials")
+    return client.partial_edges(pages, pages.select("id", "path"))[1]
 
 
 _LOADS = "SELECT c_custkey AS k, c_custkey % 97 AS s FROM customer JOIN part ON p_partkey = c_custkey % 97"
@@ -118,9 +126,10 @@ def _(spark, sf_dir):
     return rows.select("node_id", "type", "name", "file_path", F.get_json_object("props", "$.lineCount").alias("lines"))
 
 
-def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    return client.composed_scopes(pages, client.partial_edges(pages, facts(spark, sf_dir, PAGES).select("id", "path"))[0])
+def _scopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scopes, and the pages they are of."""
+    pages = _scanned(spark, sf_dir, "partials", "assets", "dynamic_ids", *client.NAMES)
+    return client.composed_scopes(pages, client.partial_edges(pages, pages.select("id", "path"))[0]), pages
 
 
 @query(
@@ -129,7 +138,7 @@ def _scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'page:_Part' || n_nationkey, 'inner' || n_nationkey, 'inner' || n_nationkey, 'part' || n_nationkey, 0 FROM nation""",
 )
 def _(spark, sf_dir):
-    return _scopes(spark, sf_dir).select("page", _joined("data_keys").alias("data_keys"), _joined("bound_keys").alias("bound_keys"), _joined("ids").alias("ids"), F.col("dynamic_ids").cast("int").alias("dynamic_ids"))
+    return _scopes(spark, sf_dir)[0].select("page", _joined("data_keys").alias("data_keys"), _joined("bound_keys").alias("bound_keys"), _joined("ids").alias("ids"), F.col("dynamic_ids").cast("int").alias("dynamic_ids"))
 
 
 @query(
@@ -138,8 +147,8 @@ def _(spark, sf_dir):
 UNION ALL SELECT 'page:' || k, 'js:s' || s, 'DomSelectedBy', '{{"ids":["d' || (k % 13) || '"]}}' FROM ({_LOADS}) WHERE k % 13 = s % 13""",
 )
 def _(spark, sf_dir):
-    scripts = _scripts(spark, sf_dir)
-    return client.coupling_edges(_scopes(spark, sf_dir), client.loaded_scripts(_pages(spark, sf_dir), scripts.select("id", "path")), scripts)
+    scripts, (scopes, pages) = settled(_scripts(spark, sf_dir), "scripts"), _scopes(spark, sf_dir)
+    return client.coupling_edges(scopes, client.loaded_scripts(pages, scripts.select("id", "path")), scripts)
 
 
 _RENDERED = f"""l AS ({_LOADS}),
@@ -151,7 +160,8 @@ keys AS (SELECT s, unnest(['fixed', 'inner' || (k % 9), 'key' || (k % 6)]) AS x
     f"""WITH {_RENDERED} SELECT 'js:s' || a.s AS script, a.x AS data_keys, b.x AS ids, true AS dynamic FROM (SELECT s, string_agg(DISTINCT x, ',' ORDER BY x) AS x FROM keys GROUP BY s) a JOIN (SELECT s, string_agg(DISTINCT x, ',' ORDER BY x) AS x FROM ids GROUP BY s) b USING (s)""",
 )
 def _(spark, sf_dir):
-    rows = client.rendered_for(_scopes(spark, sf_dir), client.loaded_scripts(_pages(spark, sf_dir), facts(spark, sf_dir, SCRIPTS)))
+    scopes, pages = _scopes(spark, sf_dir)
+    rows = client.rendered_for(scopes, client.loaded_scripts(pages, facts(spark, sf_dir, SCRIPTS)))
     return rows.select("script", _joined(F.array_sort("data_keys")).alias("data_keys"), _joined(F.array_sort("ids")).alias("ids"), "dynamic")
 
 
@@ -160,8 +170,8 @@ def _(spark, sf_dir):
     f"""WITH {_RENDERED} SELECT 'js:s' || s AS script, 'camel-case' || (s % 4) || CASE WHEN 'key' || (s % 6) IN (SELECT x FROM keys WHERE keys.s = o.s) THEN '' ELSE ',key' || (s % 6) END AS keys, '' AS ids FROM (SELECT DISTINCT s FROM l) o""",
 )
 def _(spark, sf_dir):
-    scripts = _scripts(spark, sf_dir)
-    rows = client.unbound_names(_scopes(spark, sf_dir), client.loaded_scripts(_pages(spark, sf_dir), scripts.select("id", "path")), scripts)
+    scripts, (scopes, pages) = settled(_scripts(spark, sf_dir), "scripts"), _scopes(spark, sf_dir)
+    rows = client.unbound_names(scopes, client.loaded_scripts(pages, scripts.select("id", "path")), scripts)
     return rows.select("script", _joined("keys").alias("keys"), _joined("ids").alias("ids"))
 
 

@@ -36,3 +36,10 @@ def facts(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...] =
     """The rows of ``sql`` over the supplied tables, which are named inline: no view of the session is touched."""
     views = ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in tables)
     return spark.sql(f"WITH {views} {sql}")
+
+
+def texts(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """As ``facts``, with the tables' rows spread over all tasks: few bytes of a table make many texts."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    views = ", ".join(f"{t} AS (SELECT /*+ REPARTITION({n}) */ * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES)
+    return spark.sql(f"WITH {views} {sql}")
