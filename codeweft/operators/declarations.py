@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TYPE_KINDS, ci, first_by, flag
+from ..store import counted, fresh_path
 
+#: Rows of one name beyond which it is joined by broadcast.
+HOT_ROWS = 100_000
 #: Names of attribute classes, with or without their suffix; ``suppress_arguments_for`` has full names.
 DEFAULT_POLICY: dict[str, Any] = {
     "test_attributes": ["Fact", "Theory", "Test", "TestCase", "TestCaseSource", "TestMethod", "DataTestMethod"],
@@ -167,14 +170,26 @@ def type_index(nodes: DataFrame, kinds: Sequence[str] = TYPE_KINDS) -> DataFrame
     return rows.groupBy("full_name").agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("target"))
 
 
+def by_name(rows: DataFrame, index: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``index`` (a row a name). Names of more than ``HOT_ROWS`` rows, of which there can be but few, are
+    looked up by broadcast, so that no task gathers the rows of one: those that all use are often types outside, without any match."""
+    spark = rows.sparkSession
+    hot, n = counted(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS).select(key), fresh_path(spark, "hot"))
+    if not n:
+        return rows.join(index, key, how)
+    hot = F.broadcast(hot)
+    rest, many = rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+    return rest.join(index, key, how).unionByName(many.join(F.broadcast(index.join(hot, key, "left_semi")), key, how))
+
+
 def inheritance_edges(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     index = type_index(nodes, ("PageModel", "Class")).withColumnRenamed("full_name", "base_type")
-    return symbols.join(index, "base_type").select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("Inherits").alias("type")).distinct()
+    return by_name(symbols, index, "base_type").select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("Inherits").alias("type")).distinct()
 
 
 def reference_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """``facts``: id, owner, names (array), signature. References to the types named; a signature's to its own type is dropped."""
-    rows = facts.select("id", "owner", flag("signature").alias("signature"), F.explode("names").alias("full_name")).join(type_index(nodes), "full_name")
+    rows = by_name(facts.select("id", "owner", flag("signature").alias("signature"), F.explode("names").alias("full_name")), type_index(nodes), "full_name")
     rows = rows.where(~(F.col("signature") & F.col("target").eqNullSafe(F.col("owner"))) & (F.col("target") != F.col("id")))
     return rows.select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("References").alias("type"), "signature").distinct()
 
@@ -182,7 +197,7 @@ def reference_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
 def extension_edges(methods: DataFrame, nodes: DataFrame) -> DataFrame:
     """``methods``: id, extends (full name)."""
     index = type_index(nodes).withColumnRenamed("full_name", "extends")
-    return methods.join(index, "extends").select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("Extends").alias("type")).distinct()
+    return by_name(methods, index, "extends").select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("Extends").alias("type")).distinct()
 
 
 def implements_edges(methods: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,7 +215,7 @@ def attribute_edges(usages: DataFrame, nodes: DataFrame, policy: Mapping[str, An
     """
     args = F.when(~F.col("attribute").isin(*policy["suppress_arguments_for"]), F.col("args"))
     rows = usages.withColumn("args", args).dropDuplicates(["id", "attribute", "target", "line", "source", "args"])
-    rows = rows.join(type_index(nodes).withColumnRenamed("full_name", "attribute").withColumnRenamed("target", "declared"), "attribute", "left")
+    rows = by_name(rows, type_index(nodes).withColumnRenamed("full_name", "attribute").withColumnRenamed("target", "declared"), "attribute", "left")
     to = F.coalesce("declared", F.concat(F.lit("ext:"), "attribute"))
     edges = rows.select(F.col("id").alias("src"), to.alias("dst"), F.lit("DecoratedBy").alias("type"), "line", F.to_json(F.struct("target", "args", "source")).alias("props"))
     outside = rows.where("declared is null").groupBy(to.alias("node_id")).agg(F.min("name").alias("name"), F.min("attribute").alias("full_name"), F.min("assembly").alias("assembly"))
@@ -210,7 +225,7 @@ def attribute_edges(usages: DataFrame, nodes: DataFrame, policy: Mapping[str, An
 
 def register_edges(usages: DataFrame, nodes: DataFrame) -> DataFrame:
     """``usages``: id, attribute, line, registers (full names); types outside are dropped."""
-    rows = usages.select("id", "attribute", "line", F.explode("registers").alias("full_name")).join(type_index(nodes), "full_name")
+    rows = by_name(usages.select("id", "attribute", "line", F.explode("registers").alias("full_name")), type_index(nodes), "full_name")
     return rows.select(F.col("id").alias("src"), F.col("target").alias("dst"), F.lit("Registers").alias("type"), "line", F.to_json(F.struct("attribute")).alias("props")).distinct()
 
 
@@ -219,7 +234,7 @@ def injection_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     exact = type_index(nodes).select(F.col("full_name").alias("service"), F.col("target").alias("exact"))
     impl = nodes.where("type = 'ServiceImplementation'").groupBy(F.col("name").alias("bare")).agg(F.min_by("node_id", F.struct("node_seq", "node_id")).alias("impl"))
     bare = F.regexp_replace(F.regexp_extract("service", r"([^.]+)$", 1), r"^I(?=\p{Lu})", "")
-    rows = facts.join(exact, "service", "left").withColumn("bare", bare).join(impl, "bare", "left")
+    rows = by_name(by_name(facts, exact, "service", "left").withColumn("bare", bare), impl, "bare", "left")
     rows = rows.withColumn("from", F.coalesce("exact", "impl")).where("`from` is not null")
     return rows.select(F.col("from").alias("src"), F.col("id").alias("dst"), F.lit("InjectedInto").alias("type")).distinct()
 

@@ -38,3 +38,19 @@ def test_views_are_sought_once_for_each_name_and_folder(spark, monkeypatch):
     rows = {(r["src"], r["line"], r["dst"]) for r in edges.collect()}
     assert rows == {(f"p{i}", i, "a" if i % 2 else "a0") for i in range(50)} | {(f"p{i}", 1, "partial:_B") for i in range(50)} and [r["name"] for r in stubs.collect()] == ["_B"]
     assert asked[0] == 4
+
+
+def test_names_of_many_rows_are_joined_apart(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"t{i}", i, "Class", f"N{i}") for i in range(5)], "node_id string, node_seq long, type string, full_name string")
+    facts = spark.createDataFrame([(f"m{i}", None, False, ["Out", "N1", f"N{i % 5}", "Gone"]) for i in range(60)], "id string, owner string, signature boolean, names array<string>")
+    want = {(f"m{i}", f"t{j}") for i in range(60) for j in (1, i % 5)}
+    monkeypatch.setattr(declarations, "HOT_ROWS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = declarations.reference_edges(facts, nodes)
+        assert "BroadcastHashJoin" in plan_of(found)
+        assert {(r["src"], r["dst"]) for r in found.collect()} == want
+        usages = spark.createDataFrame([(f"m{i}", ["Out", None, "N1"][i % 3], "n", "lib", "method", i, "src", "[]") for i in range(90)], "id string, attribute string, name string, assembly string, target string, line int, source string, args string")
+        assert sorted(r["dst"] for r in declarations.attribute_edges(usages, nodes)[0].where("dst is not null").collect()) == ["ext:Out"] * 30 + ["t1"] * 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
