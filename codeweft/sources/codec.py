@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..model import EDGE_COLUMNS, EDGE_KINDS, NODE_COLUMNS, NODE_KINDS, Graph, ci, kind
 
 CURRENT = (1, 2)
+#: Files that a task writes side by side; every known kind has one.
+MOST_OPEN = 64
 
 #: Properties with a column of their own: the saved name of each.
 NODE_PROPERTIES = {
@@ -128,9 +130,18 @@ def save_graph(graph: Graph, path: str) -> None:
 
 
 def write_tables(graph: Graph, path: str) -> None:
-    """The native form; edges by kind, so that traversals of some kinds read only those."""
+    """The native form; edges by kind, so that traversals of some kinds read only those.
+
+    A task keeps a file open for each kind, so its rows aren't sorted by kind; beyond ``MOST_OPEN`` kinds the rest is.
+    """
+    spark, writers = graph.nodes.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
     graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, MOST_OPEN)
+    try:
+        graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+    finally:
+        spark.conf.set(writers, before)
 
 
 def read_tables(spark: SparkSession, path: str) -> Graph:

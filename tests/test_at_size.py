@@ -54,3 +54,11 @@ def test_names_of_many_rows_are_joined_apart(spark, monkeypatch):
         assert sorted(r["dst"] for r in declarations.attribute_edges(usages, nodes)[0].where("dst is not null").collect()) == ["ext:Out"] * 30 + ["t1"] * 30
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_are_written_by_kind_without_a_sort(spark, tmp_path):
+    g = Graph.build(spark, [{"node_id": "a"}], [{"src": "a", "dst": "a", "type": t} for t in ("Calls", "Reads", "Calls")])
+    codec.write_tables(g, str(tmp_path / "t"))
+    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+    assert "Sort" not in executions.last().physicalPlanDescription()
+    assert sorted(r["type"] for r in codec.read_tables(spark, str(tmp_path / "t")).edges.collect()) == ["Calls", "Calls", "Reads"]
