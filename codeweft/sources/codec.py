@@ -6,11 +6,13 @@ import json
 import re
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE_COLUMNS, EDGE_KINDS, NODE_COLUMNS, NODE_KINDS, Graph, ci, kind
+from ..store import settled
 
 CURRENT = (1, 2)
 #: Files that a task writes side by side; every known kind has one.
@@ -65,13 +67,42 @@ def _decoded(name: Column, known: list[str]) -> tuple[Column, Column]:
     return F.coalesce(spelled, F.lit("Unknown")), F.when(spelled.isNull(), name)
 
 
-_RAW = "struct<formatVersion:string,builtAt:string,foreignFormatVersions:array<string>,nodes:array<struct<id:string,type:string,name:string,filePath:string,lineStart:int,lineEnd:int,properties:variant,labels:array<string>>>,edges:array<struct<fromId:string,toId:string,type:string,properties:variant>>>"
+_NODE = "struct<id:string,type:string,name:string,filePath:string,lineStart:int,lineEnd:int,properties:variant,labels:array<string>>"
+_EDGE = "struct<fromId:string,toId:string,type:string,properties:variant>"
+_HEAD = "formatVersion:string,builtAt:string,foreignFormatVersions:array<string>"
+#: Lines of their own in what ``save_graph`` writes: the ends of a first line and the last, and what stands between nodes and edges.
+_NODES_BEGIN, _EDGES_BEGIN, _END = ', "nodes": [', '], "edges": [', "]}"
+
+
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0 on), value of all files of a folder in the order of their names. Each task numbers its own; what comes before it is counted."""
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    rows = settled(spark.read.text(path).select(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"), "value"), "lines")
+    # A row a block of a file.
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(blocks.withColumn("before", before).drop("n")), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def _documents(spark: SparkSession, path: str) -> tuple[Any, DataFrame, DataFrame]:
+    """The head, the nodes (node_seq, n) and the edges (edge_seq, e) of a saved document. Lines of ``save_graph`` are read in all tasks, other documents whole."""
+    value = F.col("value")
+    head = spark.read.text(path).where(F.startswith(value, F.lit('{"formatVersion": ')) & F.endswith(value, F.lit(_NODES_BEGIN))).first()
+    if head is None:
+        raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<{_HEAD},nodes:array<{_NODE}>,edges:array<{_EDGE}>>").alias("g")).select("g.*")
+        return raw.select("formatVersion", "builtAt", "foreignFormatVersions").first(), raw.select(F.posexplode("nodes").alias("node_seq", "n")), raw.select(F.posexplode("edges").alias("edge_seq", "e"))
+    head = {"builtAt": None, "foreignFormatVersions": None} | json.loads(head["value"] + _END)
+    lines = _placed_lines(spark, path)
+    middle = lines.where(value == _EDGES_BEGIN).first()["line"]
+    item = lambda kind: F.from_json(F.regexp_replace("value", "^,", ""), kind)
+    nodes = lines.where((F.col("line") > 0) & (F.col("line") < middle)).select((F.col("line") - 1).alias("node_seq"), item(_NODE).alias("n"))
+    edges = lines.where((F.col("line") > middle) & (value != _END)).select((F.col("line") - middle - 1).alias("edge_seq"), item(_EDGE).alias("e"))
+    return head, nodes, edges
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[Graph, Assessment]:
     """A saved JSON document; refuses a newer major version."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", _RAW).alias("g")).select("g.*")
-    head = raw.select("formatVersion", "builtAt", "foreignFormatVersions").first()
+    head, n, e = _documents(spark, path)
     if head is None:
         raise FormatError(f"nothing at {path}")
     found = assess(head["formatVersion"])
@@ -82,13 +113,11 @@ def load_graph(spark: SparkSession, path: str) -> tuple[Graph, Assessment]:
         kinds = dict(columns)
         return [F.try_variant_get(F.col(f"{alias}.properties"), f"$.{saved}", kinds[c]).alias(c) for c, saved in names.items()]
 
-    n = raw.select(F.posexplode("nodes").alias("node_seq", "n"))
     known, foreign = _decoded(F.col("n.type"), NODE_KINDS)
     nodes = n.select(
         F.col("n.id").alias("node_id"), F.col("node_seq").cast("long"), known.alias("type"), foreign.alias("foreign_type"), F.col("n.name").alias("name"), F.col("n.filePath").alias("file_path"),
         F.col("n.lineStart").alias("line_start"), F.col("n.lineEnd").alias("line_end"), F.col("n.labels").alias("labels"), F.to_json("n.properties").alias("props"), *own("n", NODE_PROPERTIES, NODE_COLUMNS),
     )
-    e = raw.select(F.posexplode("edges").alias("edge_seq", "e"))
     known, foreign = _decoded(F.col("e.type"), EDGE_KINDS)
     edges = e.select(
         F.col("edge_seq").cast("long"), F.col("e.fromId").alias("src"), F.col("e.toId").alias("dst"), known.alias("type"), foreign.alias("foreign_type"), F.to_json("e.properties").alias("props"), *own("e", EDGE_PROPERTIES, EDGE_COLUMNS)
@@ -108,25 +137,31 @@ def _saved_properties(names: dict[str, str]) -> Column:
     return F.map_concat(old, as_map(own))
 
 
-def graph_json(graph: Graph) -> DataFrame:
-    """One row, ``value``: the JSON document. An export of graphs that fit a task; large ones are kept as Parquet."""
+def graph_lines(graph: Graph) -> DataFrame:
+    """``value``: the JSON document, in order; a line of its own for each node and edge, so no task holds more than a range of them."""
     node = F.struct(
         F.col("node_id").alias("id"), kind().alias("type"), "name", F.col("file_path").alias("filePath"), F.col("line_start").alias("lineStart"), F.col("line_end").alias("lineEnd"), _saved_properties(NODE_PROPERTIES).alias("properties"), "labels"
     )
     edge = F.struct(F.col("src").alias("fromId"), F.col("dst").alias("toId"), kind().alias("type"), _saved_properties(EDGE_PROPERTIES).alias("properties"))
-    lines = lambda df, seq, body: df.select(F.col(seq).alias("s"), F.to_json(body).alias("j")).agg(F.array_sort(F.collect_list(F.struct("s", "j"))).alias("a")).select(F.concat(F.lit("["), F.array_join("a.j", ","), F.lit("]")).alias("j"))
-    head = {"formatVersion": ".".join(map(str, CURRENT))}
+    head: dict[str, Any] = {"formatVersion": ".".join(map(str, CURRENT))}
     if graph.built_at:
         head["builtAt"] = graph.built_at.astimezone(UTC).isoformat()
     if graph.foreign_versions:
         head["foreignFormatVersions"] = list(graph.foreign_versions)
-    parts = lines(graph.nodes, "node_seq", node).withColumn("k", F.lit(0)).unionByName(lines(graph.edges, "edge_seq", edge).withColumn("k", F.lit(1)))
-    both = parts.agg(F.max(F.when(F.col("k") == 0, F.col("j"))).alias("n"), F.max(F.when(F.col("k") == 1, F.col("j"))).alias("e"))
-    return both.select(F.concat(F.lit(json.dumps(head)[:-1] + ', "nodes": '), "n", F.lit(', "edges": '), "e", F.lit("}")).alias("value"))
+    spark, order = graph.nodes.sparkSession, ["part", "s", "j", "tie"]
+    lines = lambda df, seq, body, part: df.select(F.lit(part).alias("part"), F.coalesce(seq, F.lit(-(1 << 63))).alias("s"), F.to_json(body).alias("j"))
+    rows = settled(lines(graph.nodes, "node_seq", node, 1).unionByName(lines(graph.edges, "edge_seq", edge, 3)).withColumn("tie", F.monotonically_increasing_id()), "lines")
+    # The first of a part has no comma before it.
+    least = rows.groupBy("part").agg(F.min("s").alias("s"))
+    first = rows.join(F.broadcast(least), ["part", "s"]).groupBy("part").agg(F.min(F.struct("s", "j", "tie")).alias("first"))
+    rows = rows.join(F.broadcast(first), "part").withColumn("value", F.when(F.struct("s", "j", "tie") == F.col("first"), F.col("j")).otherwise(F.concat(F.lit(","), "j")))
+    marks = spark.createDataFrame([(0, 0, "", 0, json.dumps(head)[:-1] + _NODES_BEGIN), (2, 0, "", 0, _EDGES_BEGIN), (4, 0, "", 0, _END)], "part int, s long, j string, tie long, value string")
+    return rows.select(*order, "value").unionByName(marks).orderBy(*order).select("value")
 
 
 def save_graph(graph: Graph, path: str) -> None:
-    graph_json(graph).coalesce(1).write.mode("overwrite").text(path)
+    """A folder of files that are the JSON document one after the other, in the order of their names."""
+    graph_lines(graph).write.mode("overwrite").text(path)
 
 
 def write_tables(graph: Graph, path: str) -> None:

@@ -56,6 +56,31 @@ def test_names_of_many_rows_are_joined_apart(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_saved_graph_is_lines_in_order(spark, tmp_path):
+    n = 500
+    nodes = spark.range(n).selectExpr("concat('n', id) AS node_id", f"{n} - id AS node_seq", "'Class' AS type", "'two\nlines' AS name").repartition(5)
+    edges = spark.range(n).selectExpr("id div 2 AS edge_seq", "concat('n', id) AS src", "'n0' AS dst", "'Calls' AS type").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        codec.save_graph(Graph.of(nodes, edges), str(tmp_path / "g"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "g").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert len(files) > 1 and len(text.splitlines()) == 2 * n + 3
+    whole = json.loads(text)
+    assert [x["id"] for x in whole["nodes"]] == [f"n{i}" for i in range(n - 1, -1, -1)] and len(whole["edges"]) == n
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "g.json").write_text(json.dumps(whole))
+    for folder in ("g", "one"):
+        back = codec.load_graph(spark, str(tmp_path / folder))[0]
+        assert [(r["node_seq"], r["node_id"], r["name"]) for r in back.nodes.orderBy("node_seq").collect()] == [(i, f"n{n - 1 - i}", "two\nlines") for i in range(n)]
+        assert [(r["edge_seq"], r["src"]) for r in back.edges.orderBy("edge_seq").collect()] == [(i, x["fromId"]) for i, x in enumerate(whole["edges"])]
+    empty = Graph.of(nodes.limit(0), edges.limit(0))
+    codec.save_graph(empty, str(tmp_path / "e"))
+    assert codec.load_graph(spark, str(tmp_path / "e"))[0].nodes.count() == 0
+
+
 def test_edges_are_written_by_kind_without_a_sort(spark, tmp_path):
     g = Graph.build(spark, [{"node_id": "a"}], [{"src": "a", "dst": "a", "type": t} for t in ("Calls", "Reads", "Calls")])
     codec.write_tables(g, str(tmp_path / "t"))
