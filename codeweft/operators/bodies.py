@@ -7,11 +7,20 @@ pair of them is walked in one task, and pairs in parallel.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 MOST_DIFFERENCES = 25
+BLOCK = ("ordinal", "kind", "operations", "calls", "condition", "when_true", "when_false", "falls_to", "region")
+REGION = ("id", "parent", "kind", "exception_type")
+#: Results that are kept in a batch, of pairs that have fewer characters than this together.
+MOST_KEPT, LONGEST_KEPT = 4096, 8192
 OUTER = ("Root", "LocalLifetime")
 
 
@@ -44,8 +53,10 @@ def compare_bodies(left: list[dict], right: list[dict], left_regions: list[dict]
 
     a_regions, b_regions = prepared(left_regions), prepared(right_regions)
     a_blocks, b_blocks = {b["ordinal"]: b for b in left}, {b["ordinal"]: b for b in right}
-    entry = lambda rows: next(b["ordinal"] for b in rows if b["kind"] == "Entry")
+    entry = lambda rows: next((b["ordinal"] for b in rows if b["kind"] == "Entry"), None)
     todo, seen, found = [(entry(left), entry(right))], set(), []
+    if None in todo[0]:
+        return [f"L{todo[0][0]}/R{todo[0][1]}: no entry"]
     while todo and len(found) < MOST_DIFFERENCES:
         pair = todo.pop(0)
         if pair in seen:
@@ -54,7 +65,7 @@ def compare_bodies(left: list[dict], right: list[dict], left_regions: list[dict]
         a, b = a_blocks[pair[0]], b_blocks[pair[1]]
         at = f"L{pair[0]}/R{pair[1]}"
         checks = [
-            ("kind", a["kind"], b["kind"]), ("operations", list(a["operations"]), list(b["operations"])), ("calls", list(a["calls"]), list(b["calls"])), ("condition", _none(a["condition"]), _none(b["condition"])),
+            ("kind", a["kind"], b["kind"]), ("operations", a["operations"] or [], b["operations"] or []), ("calls", a["calls"] or [], b["calls"] or []), ("condition", _none(a["condition"]), _none(b["condition"])),
             ("exception context", _context(_none(a["region"]), *a_regions), _context(_none(b["region"]), *b_regions)),
         ]
         bad = next(((what, x, y) for what, x, y in checks if x != y), None)
@@ -70,25 +81,57 @@ def compare_bodies(left: list[dict], right: list[dict], left_regions: list[dict]
     return found
 
 
+@pandas_udf(StructType([StructField(n, ArrayType(StringType())) for n in ("differences", "calls_only_left", "calls_only_right")]))
+def _compared(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Of the JSON texts of two bodies: their differences, and the calls that one has more often, sorted."""
+    blank = dict.fromkeys(BLOCK + REGION)
+    known: dict[tuple[str, str], tuple] = {}
+
+    def parsed(text: str | None) -> tuple[list[dict], list[dict]]:
+        found = json.loads(text) if text is not None else {}
+        return tuple([blank | row for row in found.get(part) or ()] for part in ("blocks", "regions"))
+
+    def more(a: Counter, b: Counter) -> list:
+        return sorted((a - b).elements(), key=lambda x: (x is not None, x or ""))
+
+    def compare(x: str | None, y: str | None) -> tuple:
+        (a, a_regions), (b, b_regions) = parsed(x), parsed(y)
+        calls = [Counter(c for block in blocks for c in block["calls"] or ()) for blocks in (a, b)]
+        return compare_bodies(a, b, a_regions, b_regions), more(*calls), more(*calls[::-1])
+
+    out = []
+    for pair in zip(left, right, strict=True):
+        found = known.get(pair) or compare(*pair)
+        # Bodies often repeat; long ones aren't kept.
+        if len(known) < MOST_KEPT and sum(len(x or "") for x in pair) < LONGEST_KEPT:
+            known[pair] = found
+        out.append(found)
+    return pd.DataFrame(out, columns=["differences", "calls_only_left", "calls_only_right"])
+
+
+def body_texts(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """body, text: a row a body, its blocks and regions as JSON, in the order of their numbers."""
+    rows = blocks.select("body", F.struct(*BLOCK).alias("b"), F.lit(None).cast(_struct(regions, REGION)).alias("r"))
+    rows = rows.unionByName(regions.select("body", F.lit(None).cast(_struct(blocks, BLOCK)).alias("b"), F.struct(*REGION).alias("r")))
+    rows = rows.groupBy("body").agg(F.array_sort(F.collect_list("b")).alias("blocks"), F.array_sort(F.collect_list("r")).alias("regions"))
+    return rows.select("body", F.to_json(F.struct("blocks", "regions")).alias("text"))
+
+
+def _struct(rows: DataFrame, names: tuple[str, ...]) -> StructType:
+    return StructType([StructField(n, rows.schema[n].dataType) for n in names])
+
+
 def body_diff(pairs: DataFrame, blocks: DataFrame, regions: DataFrame, depths: DataFrame) -> DataFrame:
-    """``pairs``: pair, left, right; ``depths``: body, depth. pair, equivalent, depth_left, depth_right, calls_only_left, calls_only_right, differences."""
-    sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("body")), F.struct(F.lit("r").alias("side"), F.col("right").alias("body")))).alias("s")).select("pair", "s.side", "s.body")
-    b, r = sides.join(blocks, "body"), sides.join(regions, "body")
-    r = r.toDF(*r.columns)  # columns of its own
-
-    def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of = lambda pdf, side: pdf[pdf["side"] == side].to_dict("records")
-        return pd.DataFrame({"pair": [key[0]], "differences": [compare_bodies(of(left, "l"), of(left, "r"), of(right, "l"), of(right, "r"))]})
-
-    walked = b.groupBy("pair").cogroup(r.groupBy("pair")).applyInPandas(compare, f"pair {dict(pairs.dtypes)['pair']}, differences array<string>")
-    counts = b.select("pair", "side", F.explode("calls").alias("target")).groupBy("pair", "target").agg(F.sum(F.when(F.col("side") == "l", 1).otherwise(-1)).alias("d"))
-    names = lambda sign: F.flatten(F.array_sort(F.collect_list(F.when(F.col("d") * sign > 0, F.array_repeat("target", F.abs("d").cast("int"))))))
-    excess = counts.groupBy("pair").agg(names(1).alias("calls_only_left"), names(-1).alias("calls_only_right"))
-    depth = lambda side, c: sides.where(F.col("side") == side).join(depths, "body").select("pair", F.col("depth").alias(c))
-    none = F.array().cast("array<string>")
-    rows = walked.join(excess, "pair", "left").withColumns({c: F.coalesce(c, none) for c in ("calls_only_left", "calls_only_right")})
-    rows = rows.withColumn("equivalent", (F.size("differences") == 0) & (F.size("calls_only_left") == 0) & (F.size("calls_only_right") == 0))
-    return rows.join(depth("l", "depth_left"), "pair", "left").join(depth("r", "depth_right"), "pair", "left").select("pair", "equivalent", "depth_left", "depth_right", "calls_only_left", "calls_only_right", "differences")
+    """``pairs``: pair, left, right; ``depths``: body, depth. pair, equivalent, depth_left, depth_right, calls_only_left, calls_only_right, differences.
+
+    A body is one text, gathered once; pairs of texts are compared in Arrow batches, equal ones once a batch.
+    """
+    bodies = body_texts(blocks, regions).join(depths.select("body", "depth"), "body", "left")
+    side = lambda s: bodies.select(F.col("body").alias(s), F.col("text").alias(f"{s}_text"), F.col("depth").alias(f"depth_{s}"))
+    rows = pairs.select("pair", "left", "right").join(side("left"), "left", "left").join(side("right"), "right", "left").where("left_text is not null or right_text is not null")
+    rows = rows.withColumn("c", _compared("left_text", "right_text")).select("pair", "depth_left", "depth_right", "c.*")
+    equal = (F.size("differences") == 0) & (F.size("calls_only_left") == 0) & (F.size("calls_only_right") == 0)
+    return rows.select("pair", equal.alias("equivalent"), "depth_left", "depth_right", "calls_only_left", "calls_only_right", "differences")
 
 
 _COMPLEMENT = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}

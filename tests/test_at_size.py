@@ -16,6 +16,26 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bodies_are_compared_in_batches(spark):
+    ddl = "body string, ordinal int, kind string, operations array<string>, calls array<string>, condition string, when_true int, when_false int, falls_to int, region int"
+    own = lambda b, op, *calls: [(b, 0, "Entry", [], [], None, None, None, 1, 0), (b, 1, "Block", [op], list(calls), None, None, None, 2, 0), (b, 2, "Exit", [], [], None, None, None, None, 0)]
+    names = [f"b{i}" for i in range(40)]
+    blocks = spark.createDataFrame([row for i, b in enumerate(names) for row in own(b, f"op{i % 2}", *["m", "n"][: i % 3])], ddl).repartition(7)
+    regions = spark.createDataFrame([(b, 0, None, "Root", None) for b in names], "body string, id int, parent int, kind string, exception_type string")
+    pairs = spark.createDataFrame([(i, f"b{i}", f"b{j}") for i, j in zip(range(40), [*range(1, 40), 99], strict=True)], "pair int, left string, right string")
+    found = bodies.body_diff(pairs, blocks, regions, spark.createDataFrame([(b, 2) for b in names], "body string, depth int"))
+    plan = plan_of(found)
+    assert "ArrowEvalPython" in plan and "FlatMapCoGroups" not in plan
+    rows = {r["pair"]: r for r in found.collect()}
+    assert len(rows) == 40 and not any(r["equivalent"] for r in rows.values())
+    for i in range(39):
+        left, right = ["m", "n"][: i % 3], ["m", "n"][: (i + 1) % 3]
+        assert rows[i]["calls_only_left"] == [c for c in left if c not in right] and rows[i]["calls_only_right"] == [c for c in right if c not in left]
+        assert rows[i]["differences"] == [f"L1/R1: operations ['op{i % 2}'] <> ['op{(i + 1) % 2}']"]
+    # A body that isn't there: one difference, not a failed task.
+    assert rows[39]["differences"] == ["L0/RNone: no entry"] and rows[39]["depth_right"] is None
+
+
 def test_pages_are_scanned_once(spark, tmp_path, monkeypatch):
     made = []
     monkeypatch.setattr(page_plans, "settled", lambda df, name: made.append(name) or settled(df, name))
