@@ -107,3 +107,15 @@ def test_edges_are_written_by_kind_without_a_sort(spark, tmp_path):
     executions = spark._jsparkSession.sharedState().statusStore().executionsList()
     assert "Sort" not in executions.last().physicalPlanDescription()
     assert sorted(r["type"] for r in codec.read_tables(spark, str(tmp_path / "t")).edges.collect()) == ["Calls", "Calls", "Reads"]
+
+
+def test_facts_of_bodies_meet_before_the_calls(spark, monkeypatch):
+    chain = ["E", "Base"]
+    nodes = [{"node_id": f"s{i:02}", "type": "Method", "throws": [{"type": "E", "chain": chain, "conditional": i % 2 == 0}], "implements_methods": ["p", "q"]} for i in range(20)]
+    nodes += [{"node_id": x, "type": "Method"} for x in "pq"] + [{"node_id": f"m{i}", "type": "Method", "entry_point_kind": "main"} for i in range(4)]
+    edges = [{"src": "m0", "dst": "p", "type": "Calls"}, {"src": "m1", "dst": "q", "type": "Calls", "filtered_by": ["Base"]}, {"src": "m2", "dst": "q", "type": "Calls", "guarded_by": ["E"]}, {"src": "m3", "dst": "m1", "type": "Calls"}]
+    sizes = {}
+    monkeypatch.setattr(escapes, "settled", lambda df, name: sizes.setdefault(name, df.count()) and settled(df, name) or settled(df, name))
+    rows = {(r["src"], r["dst"], r["depth"], tuple(r["path"]), r["conditional"]) for r in escapes.escape_edges(Graph.build(spark, nodes, edges)).collect()}
+    assert rows == {("s01", "m0", 1, ("s01", "m0"), False), ("s00", "m1", 1, ("s00", "m1"), True), ("s00", "m3", 2, ("s00", "m1", "m3"), True)}
+    assert sizes["callers"] == len(edges)
