@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import HTTP_KINDS, Graph
-from ..store import Rounds, counted, fresh_path, settled, small
+from ..store import BROADCAST_ROWS, Rounds, counted, fresh_path, placed, settled, small
 
 
 def handles(guards: str | Column, chain: str | Column) -> Column:
@@ -20,10 +20,28 @@ def handles(guards: str | Column, chain: str | Column) -> Column:
     return F.coalesce(F.array_contains(g, "*") | F.arrays_overlap(g, chain), F.lit(False))
 
 
-def escape_facts(graph: Graph, max_depth: int | None = None) -> DataFrame:
-    """method, exception_type, chain, conditional, depth, path (thrower first). Rounds are appended, never rewritten."""
-    keys, facts = ["method", "exception_type"], ["chain", "conditional", "depth", "path"]
-    best = F.min_by(F.struct(*facts), F.struct("conditional", "depth", "path")).alias("f")
+_KEYS, _FACTS = ["method", "exception_type"], ["chain", "conditional", "depth", "path"]
+
+
+def _best() -> Column:
+    return F.min_by(F.struct(*_FACTS), F.struct("conditional", "depth", "path")).alias("f")
+
+
+def escape_facts(graph: Graph, max_depth: int | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """method, exception_type, chain, conditional, depth, path (thrower first); with ``entries`` (method, entry_point_kind) of these alone."""
+    found, more = _rounds(graph, max_depth).all(), []
+    if entries is not None:
+        # The facts are shuffled once, by method, for this join and for the choice of the best.
+        found, more = found.join(entries, "method"), [F.first("entry_point_kind").alias("entry_point_kind")]
+    # A firm fact over the conditional one before it.
+    best = found.groupBy(*_KEYS).agg(_best(), *more)
+    return best.select(*_KEYS, "f.*", *(["entry_point_kind"] if more else []))
+
+
+def _rounds(graph: Graph, max_depth: int | None) -> Rounds:
+    """The facts of each round, appended and never rewritten; of a method and type the last is the surest."""
+    keys, facts = _KEYS, _FACTS
+    best = _best()
     thrown = graph.nodes.where("throws is not null").select("node_id", F.explode("throws").alias("t"))
     thrown = thrown.select(F.col("node_id").alias("method"), F.col("t.type").alias("exception_type"), F.col("t.chain").alias("chain"), F.coalesce("t.conditional", F.lit(False)).alias("conditional"))
     thrown = thrown.withColumns({"depth": F.lit(0), "path": F.array("method")}).groupBy(*keys).agg(best).select(*keys, "f.*")
@@ -31,7 +49,7 @@ def escape_facts(graph: Graph, max_depth: int | None = None) -> DataFrame:
     rounds = Rounds(spark, "facts")
     frontier, n = rounds.add(thrown)
     calls = graph.edges.where("type = 'Calls'").select(F.col("src").alias("caller"), "dst", "guarded_by", "filtered_by")
-    calls = settled(calls.join(graph.nodes.select(F.col("node_id").alias("caller")), "caller", "left_semi"), "callers")
+    calls = placed(calls.join(graph.nodes.select(F.col("node_id").alias("caller")), "caller", "left_semi"), "callers", "dst")
     bound, many = counted(graph.nodes.where("implements_methods is not null").select(F.col("node_id").alias("method"), F.explode("implements_methods").alias("dst")), fresh_path(spark, "bound"))
     depth = 0
     while n and (max_depth is None or depth < max_depth):
@@ -47,15 +65,23 @@ def escape_facts(graph: Graph, max_depth: int | None = None) -> DataFrame:
             F.col("caller").alias("method"), "exception_type", "chain", (F.col("conditional") | handles("filtered_by", "chain")).alias("conditional"), F.lit(depth).alias("depth"), F.concat("path", F.array("caller")).alias("path")
         )
         moved = moved.groupBy(*keys).agg(best).select(*keys, "f.*")
-        old = small(rounds.all().select(F.col("method").alias("m"), F.col("exception_type").alias("e"), F.col("conditional").alias("was")), rounds.n)
+        old = rounds.all().select(F.col("method").alias("m"), F.col("exception_type").alias("e"), F.col("conditional").alias("was"))
+        if 4 * m <= BROADCAST_ROWS < rounds.n:
+            # Few facts move: of the old ones only those of the same keys are looked at.
+            moved, k = counted(moved, fresh_path(spark, "moved"))
+            if k <= BROADCAST_ROWS:
+                same = F.broadcast(moved.select(F.col("method").alias("m"), F.col("exception_type").alias("e")))
+                old = F.broadcast(old.join(same, ["m", "e"], "left_semi").distinct())
+        else:
+            old = small(old, rounds.n)
         frontier, n = rounds.add(moved.join(old, F.expr("method = m and exception_type = e and (conditional or not was)"), "left_anti"))
-    return rounds.all().groupBy(*keys).agg(best).select(*keys, "f.*")  # a firm fact over the conditional one before it
+    return rounds
 
 
 def escape_edges(graph: Graph, max_depth: int | None = None) -> DataFrame:
     """The Escapes edges: thrower, entry, type, depth, path, conditional, and which boundaries intercept them."""
     entries = graph.nodes.where("type = 'Method' and entry_point_kind is not null").select(F.col("node_id").alias("method"), "entry_point_kind")
-    rows = settled(escape_facts(graph, max_depth).join(entries, "method"), "escapes")
+    rows = settled(escape_facts(graph, max_depth, entries), "escapes")
     borders = graph.nodes.where("type = 'Method' and (boundary_catches is not null or boundary_catches_filtered is not null)")
     borders = borders.select(F.col("node_id").alias("border"), "boundary_catches", "boundary_catches_filtered")
     none = F.array().cast("array<string>")

@@ -6,10 +6,11 @@ from pathlib import Path
 import pytest
 
 from codeweft.model import Graph
-from codeweft.operators import bodies, client, declarations, escapes
+from codeweft.operators import bodies, client, coverage, declarations, escapes
 from codeweft.plans import pages as page_plans
 from codeweft.sources import codec
-from codeweft.store import settled
+from codeweft.store import placed, settled
+from test_full_coverage import brute, small
 
 
 def plan_of(df) -> str:
@@ -115,7 +116,40 @@ def test_facts_of_bodies_meet_before_the_calls(spark, monkeypatch):
     nodes += [{"node_id": x, "type": "Method"} for x in "pq"] + [{"node_id": f"m{i}", "type": "Method", "entry_point_kind": "main"} for i in range(4)]
     edges = [{"src": "m0", "dst": "p", "type": "Calls"}, {"src": "m1", "dst": "q", "type": "Calls", "filtered_by": ["Base"]}, {"src": "m2", "dst": "q", "type": "Calls", "guarded_by": ["E"]}, {"src": "m3", "dst": "m1", "type": "Calls"}]
     sizes = {}
-    monkeypatch.setattr(escapes, "settled", lambda df, name: sizes.setdefault(name, df.count()) and settled(df, name) or settled(df, name))
+    monkeypatch.setattr(escapes, "placed", lambda df, name, *keys: sizes.setdefault(name, df.count()) and placed(df, name, *keys))
     rows = {(r["src"], r["dst"], r["depth"], tuple(r["path"]), r["conditional"]) for r in escapes.escape_edges(Graph.build(spark, nodes, edges)).collect()}
     assert rows == {("s01", "m0", 1, ("s01", "m0"), False), ("s00", "m1", 1, ("s00", "m1"), True), ("s00", "m3", 2, ("s00", "m1", "m3"), True)}
     assert sizes["callers"] == len(edges)
+
+
+def test_placed_rows_stay_where_they_are(spark):
+    rows = placed(spark.range(100).selectExpr("concat('k', id % 10) AS k", "id"), "rows", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = rows.join(spark.range(10).selectExpr("concat('k', id) AS k", "id AS n"), "k")
+        assert plan_of(joined).count("Exchange hashpartitioning") == 1 and joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rows")]
+
+
+def test_steps_of_calls_are_placed_once_and_one_walk_reads_the_graph(spark, monkeypatch):
+    nodes, edges = small()
+    g = Graph.build(spark, nodes, [{"src": a, "dst": b, "type": t} for a, t, b in edges])
+    made = []
+    monkeypatch.setattr(coverage, "placed", lambda df, name, *keys: made.append((name, keys)) or placed(df, name, *keys))
+    want = brute(nodes, edges)
+    assert {(r["src"], r["dst"], r["depth"]) for r in coverage.coverage(g).collect()} == {(a, b, d) for (a, b), d in want.items()} and made == [("call-steps", ("src",))]
+    assert {(r["dst"], r["depth"]) for r in coverage.coverage(g, test="t2").collect()} == {(b, d) for (a, b), d in want.items() if a == "t2"} and len(made) == 1
+
+
+def test_few_facts_meet_few_of_the_old_ones(spark, monkeypatch):
+    monkeypatch.setattr(escapes, "BROADCAST_ROWS", 12)
+    thrown = [{"type": "E", "chain": ["E"], "conditional": False}]
+    nodes = [{"node_id": f"m{i:02}", "type": "Method", "entry_point_kind": "main", "throws": thrown if i >= 15 or i == 3 else None} for i in range(30)]
+    edges = [{"src": f"m{i:02}", "dst": f"m{i + 1:02}", "type": "Calls", "filtered_by": ["E"] if i == 9 else None} for i in range(15)] + [{"src": "m05", "dst": "m00", "type": "Calls"}]
+    rows = {(r["dst"], r["src"], r["depth"], r["conditional"]) for r in escapes.escape_edges(Graph.build(spark, nodes, edges)).collect()}
+    # m03 throws for m00 to m02 and, round the circle, for m05 and m04, all for sure; m06 to m09 have m15's alone, past the filter.
+    want = {(f"m{i:02}", f"m{i:02}", 0, False) for i in [3, *range(15, 30)]} | {(f"m{i:02}", "m15", 15 - i, i <= 9) for i in range(6, 15)}
+    want |= {("m02", "m03", 1, False), ("m01", "m03", 2, False), ("m00", "m03", 3, False), ("m05", "m03", 4, False), ("m04", "m03", 5, False)}
+    assert rows == want
