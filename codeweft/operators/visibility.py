@@ -21,8 +21,10 @@ def consumers(graph: Graph) -> DataFrame:
     edges = graph.edges.where("type <> 'Covers'").select("src", "dst")
     own = graph.nodes.where("project is not null").select("node_id", "project")
     rows = edges.join(own.select(F.col("node_id").alias("src"), "project"), "src").join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-    rows = rows.groupBy("dst", ci("project").alias("key")).agg(F.min("project").alias("project"))
-    return rows.groupBy(F.col("dst").alias("node_id")).agg(F.sort_array(F.collect_list("project")).alias("consumed_by"))
+    # Made distinct by hash: the least spelling as an aggregate would sort every edge. Of a node's few projects the first spelling of each is kept.
+    rows = rows.select(F.col("dst").alias("node_id"), "project").distinct().groupBy("node_id").agg(F.sort_array(F.collect_list("project")).alias("p"))
+    low = F.transform("p", F.lower)
+    return rows.select("node_id", F.filter("p", lambda x, i: F.array_position(low, F.lower(x)) == i + 1).alias("consumed_by"))
 
 
 def excess_visibility(graph: Graph, project: str | None = None, include_tests: bool = False, include_members: bool = False) -> DataFrame:

@@ -153,3 +153,11 @@ def test_few_facts_meet_few_of_the_old_ones(spark, monkeypatch):
     want = {(f"m{i:02}", f"m{i:02}", 0, False) for i in [3, *range(15, 30)]} | {(f"m{i:02}", "m15", 15 - i, i <= 9) for i in range(6, 15)}
     want |= {("m02", "m03", 1, False), ("m01", "m03", 2, False), ("m00", "m03", 3, False), ("m05", "m03", 4, False), ("m04", "m03", 5, False)}
     assert rows == want
+
+
+def test_consumers_are_made_distinct_before_spellings_are_sorted(spark):
+    from codeweft.operators import visibility
+
+    g = Graph.build(spark, [{"node_id": x, "project": p} for x, p in (("a", "Shop"), ("b", "SHOP"), ("c", "Other"), ("d", None), ("t", "Shop"))], [{"src": x, "dst": "t", "type": "Calls"} for x in "aabbccd"] + [{"src": "a", "dst": "gone", "type": "Calls"}])
+    found = visibility.consumers(g)
+    assert "SortAggregate" not in plan_of(found) and [tuple(r) for r in found.collect()] == [("t", ["Other", "SHOP"])]
